@@ -65,3 +65,9 @@ def money_sum(value: Column | str) -> Column:
 def money_mean(value: Column | str) -> Column:
     """Mean of amounts with two decimals, from an exact sum."""
     return F.try_divide(money_sum(value), F.count(as_column(value)).cast("double"))
+
+
+def round_even(value: Column | str, digits: int) -> Column:
+    """Round half to even on the scaled double, the way array libraries do."""
+    scale = F.lit(10.0**digits)
+    return F.rint(as_column(value) * scale) / scale

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.fixed_values import EVENT_TYPES, WEEKDAYS
 from sessionloom.functions.moments import day_part, time_features
-from sessionloom.functions.ratios import money_mean, money_sum
+from sessionloom.functions.ratios import money_mean, money_sum, round_even
 from sessionloom.functions.texts import id_number, id_suffix
 from sessionloom.operators import history, sessions
 from sessionloom.operators.columns import one_row_per, stack_parts
@@ -714,7 +714,7 @@ def hourly_target_stats(spark, folder):
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in kinds.items()])
     rows = train.select(F.explode(pairs).alias("group"), "session_value")
     return rows.groupBy("group.kind", "group.name").agg(
-        F.bround(money_mean("session_value"), 2).alias("mean"), F.count("session_value").alias("count")
+        round_even(money_mean("session_value"), 2).alias("mean"), F.count("session_value").alias("count")
     )
 
 
@@ -730,10 +730,10 @@ FROM ev GROUP BY user_session""",
 )
 def session_multi_agg(spark, folder):
     return session_events(spark, folder).groupBy(KEY).agg(
-        F.bround(money_mean("value"), 4).alias("value_mean"),
-        F.bround(money_sum("value"), 4).alias("value_sum"),
+        round_even(money_mean("value"), 4).alias("value_mean"),
+        round_even(money_sum("value"), 4).alias("value_sum"),
         F.count("value").alias("value_count"),
-        F.bround(F.stddev_samp("value"), 4).alias("value_std"),
+        round_even(F.stddev_samp("value"), 4).alias("value_std"),
     )
 
 
