@@ -60,7 +60,7 @@ def _contained_pairs(values: DataFrame, column: str, items: DataFrame, item: str
     """
     lengths = items.agg(F.collect_set(F.length(item))).scalar()
     text = F.col(column)
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
     pieces = F.flatten(
         F.transform(
             fitting,
@@ -69,7 +69,8 @@ def _contained_pairs(values: DataFrame, column: str, items: DataFrame, item: str
             ),
         )
     )
-    cut = values.select(text, F.explode(F.array_distinct(pieces)).alias("_piece"))
+    sized = values.withColumn("_lengths", lengths)
+    cut = sized.select(text, F.explode(F.array_distinct(pieces)).alias("_piece"))
     return cut.join(items, F.col("_piece") == F.col(item)).drop("_piece")
 
 

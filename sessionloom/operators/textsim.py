@@ -77,19 +77,15 @@ def similar_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    vectors = weights.groupBy("id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "w")))).alias("v")
+    of_a = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("w_a"))
+    of_b = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("w_b"))
+    return (
+        candidates.join(of_a, "a")
+        .join(of_b, ["b", "term"])
+        .groupBy("a", "b")
+        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("sim"))
+        .where(F.col("sim") >= min_sim - SLACK)
     )
-    both = candidates.join(vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(
-        vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b"
-    )
-    shared = F.array_sort(F.array_intersect(F.map_keys("va"), F.map_keys("vb")))
-    sim = F.aggregate(
-        shared,
-        F.lit(0.0),
-        lambda total, t: total + F.try_element_at("va", t) * F.try_element_at("vb", t),
-    )
-    return both.select("a", "b", sim.alias("sim")).where(F.col("sim") >= min_sim - SLACK)
 
 
 def cosine_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
@@ -97,7 +93,8 @@ def cosine_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
 
     Identical vectors should be represented once: see ``vector_groups``.
     """
-    return similar_pairs(weights, min_sim).where(F.col("sim") >= min_sim)
+    # The weights are read four times; writing them once is cheaper than four TF-IDF runs.
+    return similar_pairs(cut_lineage(weights), min_sim).where(F.col("sim") >= min_sim)
 
 
 def vector_groups(weights: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sessionloom.plans import session_queries, table_queries  # noqa: F401
+from sessionloom.plans import session_queries, table_queries, text_queries  # noqa: F401
 from sessionloom.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
