@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -11,6 +12,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def split_bucket(key: str, seed: int, buckets: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int")
 
 
+def fit_side_by_side(fit, items: list, parallelism: int = 4) -> list:
+    """Run independent fits at the same time, as the tuners do: small jobs fill the cluster."""
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(fit), items)
+
+
 def hash_split(df: DataFrame, key: str, seed: int = 42, pct: int = 20, to: str = "is_validation"):
     """Flag about ``pct`` percent of the keys as validation."""
     return df.withColumn(to, split_bucket(key, seed, 100) < pct)
@@ -181,7 +189,8 @@ def kmeans_segments(
     """K-means segment of each row on scaled features, the best of several starts, as 0/1 columns."""
     scaled = standardize(df.na.fill(0, features), features)
     ready = cut_lineage(feature_vector(scaled, features).select(key, "features"))
-    fits = (KMeans(k=k, seed=seed + i).fit(ready) for i in range(seeds))
+    starts = [seed + i for i in range(seeds)]
+    fits = fit_side_by_side(lambda start: KMeans(k=k, seed=start).fit(ready), starts)
     best = min(fits, key=lambda model: model.summary.trainingCost)
     segments = best.transform(ready).select(key, F.col("prediction").alias("cluster"))
     return segments.withColumns(
@@ -191,8 +200,8 @@ def kmeans_segments(
 
 def seed_bagging(train: DataFrame, scoring: DataFrame, make, seeds: list[int], key: str) -> DataFrame:
     """Mean prediction over fits that differ in their seed only."""
-    models = {str(seed): make(seed).fit(train) for seed in seeds}
-    predicted = predict_long(models, scoring, [key])
+    fitted = fit_side_by_side(lambda seed: make(seed).fit(train), seeds)
+    predicted = predict_long(dict(zip(map(str, seeds), fitted)), scoring, [key])
     return predicted.groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 

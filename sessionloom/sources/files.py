@@ -47,17 +47,24 @@ def read_many(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFr
 
 
 def read_lookup(spark: SparkSession, path: str, names: tuple[str, str] = ("city", "district")):
-    """A two-column sheet whose first data row repeats the heading and is skipped."""
+    """A two-column sheet whose first data row repeats the heading and is skipped.
+
+    ``ord`` orders the rows as they stand in the files.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = read_csv(spark, path, schema).withColumn("ord", F.monotonically_increasing_id())
+    at = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = read_csv(spark, path, schema).select(*names, at.alias("ord"))
     return rows.where(F.col("ord") != rows.agg(F.min("ord")).scalar())
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object of text to text as rows ``key, value``."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", "map<string,string>"))
-    return whole.select(entries.alias("key", "value"))
+def read_json_map(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """JSON objects of text to text as rows ``key, value``: one per file, or one per line."""
+    objects = spark.read.text(path, wholetext=not one_per_line)
+    return objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
 def read_json_list(spark: SparkSession, path: str) -> DataFrame:
