@@ -14,8 +14,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Coalescing small shuffle partitions by size instead of keeping one per core.
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
 
@@ -47,3 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result lives in the shared folder and outlives executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer splits than that; many-file inputs stay as read.
+
+    For steps that do much work per row (long texts) right after the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

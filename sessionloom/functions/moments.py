@@ -20,13 +20,19 @@ def parse_time(value: Column | str, fmt: str | None = None) -> Column:
 
 
 def micros(value: Column | str) -> Column:
-    """Microseconds since 1970 of a timestamp without time zone."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, as_column(value))
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone.
+
+    (``timestampdiff`` would go through the session time zone and its clock changes.)
+    """
+    column = as_column(value)
+    seconds = F.extract(F.lit("SECOND"), column)  # decimal(8, 6)
+    of_day = (F.hour(column) * 3600 + F.minute(column) * 60).cast("bigint") * 1_000_000
+    days = F.unix_date(F.to_date(column)).cast("bigint")
+    return days * 86_400_000_000 + of_day + (seconds * 1_000_000).cast("bigint")
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
+    return (micros(end) - micros(start)) / F.lit(1e6)
 
 
 def day_part(hour: Column | str, preset: str) -> Column:

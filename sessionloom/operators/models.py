@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.cluster import cut_lineage
@@ -27,10 +27,10 @@ def split_bucket(key: str, seed: int, buckets: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int")
 
 
-def fit_side_by_side(fit, items: list, parallelism: int = 4) -> list:
+def fit_side_by_side(session: SparkSession, fit, items: list, parallelism: int = 4) -> list:
     """Run independent fits at the same time, as the tuners do: small jobs fill the cluster."""
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(fit), items)
+        return pool.map(inheritable_thread_target(session)(fit), items)
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, pct: int = 20, to: str = "is_validation"):
@@ -190,7 +190,7 @@ def kmeans_segments(
     scaled = standardize(df.na.fill(0, features), features)
     ready = cut_lineage(feature_vector(scaled, features).select(key, "features"))
     starts = [seed + i for i in range(seeds)]
-    fits = fit_side_by_side(lambda start: KMeans(k=k, seed=start).fit(ready), starts)
+    fits = fit_side_by_side(df.sparkSession, lambda start: KMeans(k=k, seed=start).fit(ready), starts)
     best = min(fits, key=lambda model: model.summary.trainingCost)
     segments = best.transform(ready).select(key, F.col("prediction").alias("cluster"))
     return segments.withColumns(
@@ -200,7 +200,7 @@ def kmeans_segments(
 
 def seed_bagging(train: DataFrame, scoring: DataFrame, make, seeds: list[int], key: str) -> DataFrame:
     """Mean prediction over fits that differ in their seed only."""
-    fitted = fit_side_by_side(lambda seed: make(seed).fit(train), seeds)
+    fitted = fit_side_by_side(train.sparkSession, lambda seed: make(seed).fit(train), seeds)
     predicted = predict_long(dict(zip(map(str, seeds), fitted)), scoring, [key])
     return predicted.groupBy(key).agg(F.avg("prediction").alias("prediction"))
 

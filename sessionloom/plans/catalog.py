@@ -5,6 +5,7 @@ from sessionloom.plans import (  # noqa: F401
     session_queries,
     table_queries,
     text_queries,
+    whole_queries,
 )
 from sessionloom.plans.registry import CHECKS, QUERIES
 

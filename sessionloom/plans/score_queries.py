@@ -14,7 +14,7 @@ from sessionloom.plans.common import TIE_SHIFT, rounded, test_part, train_part
 from sessionloom.plans.registry import query
 from sessionloom.plans.session_queries import KEY, RICH_COUNTS, rich
 from sessionloom.sources import files
-from sessionloom.sources.fixtures import EVENTS_SQL, session_events, table
+from sessionloom.sources.fixtures import EVENTS_SQL, session_events, staged_events, table
 
 # --- predictions: three simple formulas stand in for fitted models -----------------------------
 
@@ -115,7 +115,7 @@ SELECT user_session,
 FROM t LEFT JOIN l USING (user_session)""",
 )
 def prediction_repair(spark, folder):
-    test = test_part(session_events(spark, folder))
+    test = test_part(staged_events(spark, folder))
     predictions = _row_predictions(test.where("user_id % 2 = 0"))
     template = test.select(KEY).distinct()
     return rounded(score.repair_predictions(template, predictions, KEY, "prediction", "event_id"))
@@ -129,7 +129,7 @@ SELECT count(DISTINCT user_session) AS n_unmatched FROM ev
 WHERE split = 'test' AND user_id % 2 <> 0""",
 )
 def unmatched_sessions(spark, folder):
-    test = test_part(session_events(spark, folder))
+    test = test_part(staged_events(spark, folder))
     template = test.select(KEY).distinct()
     return score.unmatched(template, test.where("user_id % 2 = 0"), KEY)
 
@@ -220,7 +220,7 @@ SELECT user_session, round(sum(prediction / rmse) / sum(1 / rmse) + 3e-9, 6) AS
 FROM long JOIN scores USING (model) WHERE split = 'test' GROUP BY user_session""",
 )
 def ensemble_weighted(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     weights = score.inverse_error_weights(_scores(events))
     return rounded(score.blend(_long(test_part(events)), weights, KEY, "prediction"))
 
@@ -308,7 +308,7 @@ def residual_histogram(spark, folder):
 
 @query("random_assignment")
 def random_assignment(spark, folder):
-    test = test_part(session_events(spark, folder))
+    test = test_part(staged_events(spark, folder))
     template = test.select(KEY).distinct()
     return score.assign_at_random(
         template, _row_predictions(test), KEY, "event_id", "prediction", 42
@@ -489,7 +489,8 @@ def _basic(spark, folder):
 
 
 def _rich(spark, folder):
-    sessions = rich(session_events(spark, folder))
+    sessions = rich(staged_events(spark, folder))
+    sessions = files.stage(sessions, fresh_path(spark, "sessions"))
     labelled = profile.iqr_filter(
         sessions.where(F.col("session_value").isNotNull()), "session_value"
     )
@@ -593,7 +594,7 @@ def feature_importance(spark, folder):
 
 @query("kmeans_segments")
 def kmeans_segments(spark, folder):
-    sessions = rich(session_events(spark, folder))
+    sessions = rich(staged_events(spark, folder))
     return models.kmeans_segments(sessions, KEY, FEATURES, k=8, seeds=10)
 
 

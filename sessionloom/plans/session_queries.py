@@ -13,7 +13,14 @@ from sessionloom.operators.columns import one_row_per, stack_parts
 from sessionloom.operators.lookup import attach
 from sessionloom.plans.common import rounded, sql_rounded, test_part, train_part
 from sessionloom.plans.registry import query
-from sessionloom.sources.fixtures import BASKETS_SQL, EVENTS_SQL, baskets, session_events, table
+from sessionloom.sources.fixtures import (
+    BASKETS_SQL,
+    EVENTS_SQL,
+    baskets,
+    session_events,
+    staged_events,
+    table,
+)
 
 KEY = "user_session"
 ALL_TYPES = [*EVENT_TYPES, "OTHER"]
@@ -254,7 +261,7 @@ SELECT round((SELECT avg(inferred_price) FROM prices) + 3e-9, 6) AS global_mean_
        round((SELECT avg(session_value) FROM ev WHERE split = 'train') + 3e-9, 6) AS label_mean""",
 )
 def global_means(spark, folder):
-    train = train_part(session_events(spark, folder))
+    train = train_part(staged_events(spark, folder))
     prices = history.inferred_prices(train).agg(F.avg("inferred_price"))
     popularity = history.category_popularity(train).agg(F.avg("category_popularity"))
     return rounded(
@@ -283,7 +290,7 @@ FROM ev LEFT JOIN users USING (user_id) LEFT JOIN prices USING (product_id)
   LEFT JOIN popularity USING (category_id)""",
 )
 def event_rows_with_history(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     train = train_part(events).drop("split")
     both = stack_parts(
         {"train": train, "test": test_part(events).drop("split", "session_value")}
@@ -344,7 +351,7 @@ FROM ev LEFT JOIN u USING (user_id) LEFT JOIN p USING (product_id)
   LEFT JOIN c USING (category_id) LEFT JOIN s USING (user_session)""",
 )
 def rows_with_group_counts(spark, folder):
-    result = history.with_group_counts(session_events(spark, folder))
+    result = history.with_group_counts(staged_events(spark, folder))
     return rounded(result.select("event_id", *GROUP_COLUMNS, *GROUP_NUMBERS))
 
 
@@ -357,7 +364,7 @@ SELECT user_session, count(event_time) AS event_count,
 SELECT event_id, user_session, event_count, unique_products FROM ev JOIN s USING (user_session)""",
 )
 def rows_with_session_features(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     per_session = sessions.basic_features(events).select(KEY, "event_count", "unique_products")
     return attach(events.select("event_id", KEY), per_session, KEY)
 
@@ -416,7 +423,7 @@ SELECT user_session, event_count, unique_event_types, unique_products, unique_ca
        CAST(d AS INTEGER) AS dayofweek_mode, {sql_rounded(ADVANCED_NUMBERS)} FROM adv""",
 )
 def session_advanced_features(spark, folder):
-    result = sessions.advanced_features(session_events(spark, folder))
+    result = sessions.advanced_features(staged_events(spark, folder))
     return rounded(
         result.select(
             KEY, "event_count", "unique_event_types", "unique_products", "unique_categories",
@@ -484,7 +491,7 @@ SELECT user_session, main_category, {", ".join(RICH_COUNTS)}, {sql_rounded(RICH_
 FROM rich JOIN main USING (user_session)""",
 )
 def session_rich_features(spark, folder):
-    result = rich(session_events(spark, folder))
+    result = rich(staged_events(spark, folder))
     return rounded(result.select(KEY, "main_category", *RICH_COUNTS, *RICH_NUMBERS))
 
 
@@ -529,7 +536,7 @@ SELECT user_session, {", ".join(BEHAVIOR_FLAGS)}, {sql_rounded(BEHAVIOR_RATIOS)}
 FROM (SELECT *, {BEHAVIOR_SQL}, {SMOOTH_SQL}, {SEGMENT_SQL})""",
 )
 def session_behavior_features(spark, folder):
-    result = sessions.behavior_features(rich(session_events(spark, folder)))
+    result = sessions.behavior_features(rich(staged_events(spark, folder)))
     result = sessions.value_segments(result)
     segments = ["segment_low", "segment_medium", "segment_high"]
     return rounded(result.select(KEY, *BEHAVIOR_FLAGS, *BEHAVIOR_RATIOS, *segments))
@@ -577,7 +584,7 @@ SELECT user_session, {sql_rounded(DENSITIES)} FROM (
   FROM rich)""",
 )
 def session_densities(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     popularity = history.category_popularity(train_part(events))
     mean = popularity.agg(F.avg("category_popularity")).scalar()
     return rounded(sessions.density_features(rich(events), mean).select(KEY, *DENSITIES))
@@ -609,7 +616,7 @@ FREQ_ROWS_SQL = (
 def frequency_encoding(spark, folder):
     from sessionloom.operators.encode import frequency_encode
 
-    events = session_events(spark, folder).select("event_id", "split", *FREQ_COLUMNS)
+    events = staged_events(spark, folder).select("event_id", "split", *FREQ_COLUMNS)
     train = train_part(events)
     result = events
     for column in FREQ_COLUMNS:
@@ -633,7 +640,7 @@ FREQ_STATS = {"mean": "avg", "max": "max", "sum": "sum", "std": "stddev_samp", "
     + " FROM fr GROUP BY user_session",
 )
 def frequency_session_stats(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     return rounded(history.frequency_session_stats(events, train_part(events), FREQ_COLUMNS))
 
 
@@ -649,7 +656,7 @@ FROM ev LEFT JOIN (SELECT product_id, avg(session_value) AS pm FROM ev WHERE spl
                    GROUP BY category_id) USING (category_id)""",
 )
 def target_mean_encoding(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     train = train_part(events)
     result = events.select("event_id", "product_id", "category_id")
     for name in ("product", "category"):
@@ -667,7 +674,7 @@ SELECT user_session, count(*) AS event_count, max(session_value) AS session_valu
 FROM ev GROUP BY user_session""",
 )
 def label_per_session(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     counts = events.groupBy(KEY).agg(F.count("*").alias("event_count"))
     labels = one_row_per(events, KEY, "session_value", ["event_time", "event_id"])
     return attach(counts, labels, KEY)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from sessionloom.cluster import fresh_path
 from sessionloom.functions.fixed_values import EVENT_CODES, UNKNOWN_WORD
 from sessionloom.functions.ratios import finite_columns
 from sessionloom.operators import columns as cols
@@ -13,7 +14,8 @@ from sessionloom.operators.lookup import code_of
 from sessionloom.plans.common import rounded, test_part, train_part
 from sessionloom.plans.registry import query
 from sessionloom.plans.session_queries import ALL_TYPES, KEY
-from sessionloom.sources.fixtures import EVENTS_SQL, session_events, table
+from sessionloom.sources.files import stage
+from sessionloom.sources.fixtures import EVENTS_SQL, session_events, staged_events, table
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -28,7 +30,7 @@ SELECT event_id, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type_code,
        dense_rank() OVER (ORDER BY product_id) - 1 AS product_id_code FROM ev""",
 )
 def label_codes(spark, folder):
-    events = session_events(spark, folder).select("event_id", "event_type", "product_id")
+    events = staged_events(spark, folder).select("event_id", "event_type", "product_id")
     return encode.codes(encode.codes(events, "event_type"), "product_id").select(
         "event_id", "event_type_code", "product_id_code"
     )
@@ -44,7 +46,7 @@ SELECT event_id, coalesce(code, (SELECT code FROM d WHERE v = 'Unknown')) AS eve
 FROM ev LEFT JOIN d ON event_type = v""",
 )
 def label_codes_unknown(spark, folder):
-    events = session_events(spark, folder).select("event_id", "event_type")
+    events = staged_events(spark, folder).select("event_id", "event_type")
     seen = events.where(F.col("event_type") != "BUY")
     coded = encode.codes(events, "event_type", fit_on=seen, sentinel="Unknown")
     return coded.select("event_id", "event_type_code")
@@ -59,7 +61,7 @@ d AS (SELECT user_session, row_number() OVER (ORDER BY user_session) - 1 AS code
 SELECT event_id, coalesce(code, -1) AS user_session_code FROM ev LEFT JOIN d USING (user_session)""",
 )
 def ordinal_unknown(spark, folder):
-    events = session_events(spark, folder).select("event_id", "split", KEY)
+    events = staged_events(spark, folder).select("event_id", "split", KEY)
     coded = encode.codes(events, KEY, fit_on=train_part(events), unseen=-1)
     return coded.select("event_id", "user_session_code")
 
@@ -72,7 +74,7 @@ def ordinal_unknown(spark, folder):
     + " FROM ev",
 )
 def one_hot_events(spark, folder):
-    events = session_events(spark, folder).select("event_id", "event_type")
+    events = staged_events(spark, folder).select("event_id", "event_type")
     values = encode.distinct_values(events, "event_type")
     return encode.one_hot(events, "event_type", values, "event")
 
@@ -180,6 +182,7 @@ WHERE session_value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
 def iqr_filter(spark, folder):
     train = train_part(session_events(spark, folder))
     labelled = train.groupBy(KEY).agg(F.max("session_value").alias("session_value"))
+    labelled = stage(labelled, fresh_path(spark, "labelled"))
     return profile.iqr_filter(labelled, "session_value")
 
 
@@ -292,7 +295,7 @@ def row_counts(spark, folder):
 
 @query("drop_null_columns", EVENTS_SQL + "SELECT * EXCLUDE (session_value) FROM ev")
 def drop_null_columns(spark, folder):
-    return cols.drop_null_columns(session_events(spark, folder))
+    return cols.drop_null_columns(staged_events(spark, folder))
 
 
 @query(
@@ -308,7 +311,7 @@ FROM (SELECT user_session, count(*) FILTER (event_type = 'VIEW') AS views,
       FROM ev GROUP BY user_session)""",
 )
 def inf_to_null(spark, folder):
-    counts = session_events(spark, folder).groupBy(KEY).agg(
+    counts = staged_events(spark, folder).groupBy(KEY).agg(
         F.count_if(F.col("event_type") == "VIEW").cast("double").alias("views"),
         F.count_if(F.col("event_type") == "BUY").cast("double").alias("buys"),
     )
@@ -463,7 +466,7 @@ SELECT 'labelled' AS part, count(*) AS n FROM ev WHERE session_value IS NOT NULL
 UNION ALL SELECT 'unlabelled', count(*) FROM ev WHERE session_value IS NULL""",
 )
 def labelled_split(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     parts = {
         "labelled": events.where(F.col("session_value").isNotNull()),
         "unlabelled": events.where(F.col("session_value").isNull()),
@@ -532,12 +535,28 @@ def common_columns(spark, folder):
 
 @query(
     "schema_diff",
-    """
-SELECT 'only_in_train' AS column_name, 'left' AS only_in
-UNION ALL SELECT 'only_in_test', 'right'""",
+    EVENTS_SQL
+    + """
+SELECT 'only_in_train' AS column_name, 'left' AS only_in,
+       (SELECT count(DISTINCT user_session) FROM ev WHERE split = 'train') AS n_values
+UNION ALL
+SELECT 'only_in_test', 'right',
+       (SELECT count(DISTINCT user_session) FROM ev WHERE split = 'test')""",
 )
 def schema_diff(spark, folder):
-    return cols.schema_diff(*_train_and_test(session_events(spark, folder)))
+    train, test = _train_and_test(staged_events(spark, folder))
+    diff = cols.schema_diff(train, test)
+    filled = [
+        df.unpivot([], [F.col(c).cast("string").alias(c) for c in only], "column_name", "_v")
+        for df, only in (
+            (train, [c for c in train.columns if c not in test.columns]),
+            (test, [c for c in test.columns if c not in train.columns]),
+        )
+    ]
+    counts = filled[0].unionByName(filled[1]).groupBy("column_name").agg(
+        F.count("_v").alias("n_values")
+    )
+    return diff.join(counts, "column_name", "left")
 
 
 @query(
@@ -546,7 +565,7 @@ def schema_diff(spark, folder):
     + "SELECT event_id, product_id, session_value, split FROM ev",
 )
 def union_by_name(spark, folder):
-    events = session_events(spark, folder).select("event_id", "product_id", "session_value", "split")
+    events = staged_events(spark, folder).select("event_id", "product_id", "session_value", "split")
     parts = {
         "train": train_part(events).drop("split"),
         "test": test_part(events).drop("split", "session_value"),
@@ -587,7 +606,7 @@ SELECT event_id, round(coalesce(session_value,
 FROM ev""",
 )
 def fill_missing(spark, folder):
-    events = session_events(spark, folder)
+    events = staged_events(spark, folder)
     mean = train_part(events).agg(F.avg("session_value")).scalar()
     bought = F.when(F.col("event_type") == "BUY", F.col("product_id"))
     rows = events.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sessionloom.cluster import spread
 from sessionloom.functions import texts
 from sessionloom.functions.fixed_values import (
     AMOUNT_EXCEPTIONS,
@@ -39,21 +40,25 @@ def words_sql(expression: str) -> str:
     return f"list_filter(string_split_regex({expression}, '\\s+'), lambda w: w <> '')"
 
 
+def _documents(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("text_normalize_a", f"SELECT doc_id, {normalized_sql('text')} AS plain FROM documents")
 def text_normalize_a(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     return docs.select("doc_id", texts.normalize_text("text").alias("plain"))
 
 
 @query("text_normalize_b", f"SELECT doc_id, {collapsed_sql('text')} AS plain FROM documents")
 def text_normalize_b(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     return docs.select("doc_id", texts.normalize_text("text", collapse=True).alias("plain"))
 
 
 @query("lower_text", "SELECT doc_id, lower(text) AS lowered FROM documents")
 def lower_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.lower("text").alias("lowered"))
+    return _documents(spark, folder).select("doc_id", F.lower("text").alias("lowered"))
 
 
 @query(
@@ -63,7 +68,7 @@ SELECT word, count(*) AS n FROM (
   SELECT unnest({words_sql(normalized_sql('text'))}) AS word FROM documents) GROUP BY word""",
 )
 def word_counts(spark, folder):
-    docs = table(spark, folder, "documents").select(texts.normalize_text("text").alias("plain"))
+    docs = _documents(spark, folder).select(texts.normalize_text("text").alias("plain"))
     return texts.word_counts(docs, "plain")
 
 
@@ -78,7 +83,7 @@ def word_counts(spark, folder):
     + " FROM documents",
 )
 def word_length_counts(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     longer = [texts.long_words("text", i).alias(f"longer_than_{i}") for i in range(5, 11)]
     return docs.select("doc_id", texts.word_total("text").alias("n_words"), *longer)
 
@@ -93,7 +98,7 @@ KEYWORDS = ["the", "que", "und", "license", "email", "tion"]
     + " FROM documents",
 )
 def keyword_flags(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder).select("doc_id", "text")
     return texts.keyword_flags(docs, "text", KEYWORDS, "_flag").drop("text")
 
 
@@ -103,7 +108,7 @@ def keyword_flags(spark, folder):
     " AS legal FROM documents",
 )
 def keyword_regex(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     legal = texts.matches_any("text", "licen[sc]e|copyright|e-?mail")
     return docs.select("doc_id", legal.alias("legal"))
 
@@ -233,7 +238,7 @@ SELECT word, count(*) AS n FROM d WHERE word IN (SELECT word FROM b) GROUP BY wo
 )
 def keyword_semi_join(spark, folder):
     def counted(name):
-        plain = table(spark, folder, name).select(texts.normalize_text("text").alias("plain"))
+        plain = spread(table(spark, folder, name)).select(texts.normalize_text("text").alias("plain"))
         return texts.word_counts(plain, "plain")
 
     return counted("documents").join(counted("benchmark").select("word"), "word", "left_semi")
@@ -432,7 +437,7 @@ def _names(spark, folder):
 
 
 def _distinct_docs(spark, folder):
-    plain = table(spark, folder, "documents").select(
+    plain = _documents(spark, folder).select(
         "doc_id", texts.normalize_text("text").alias("text")
     )
     # Grouping on a digest keeps whole texts out of the shuffle until copies are gone.

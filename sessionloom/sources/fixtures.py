@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionloom.cluster import fresh_path
 from sessionloom.functions.moments import micros
+from sessionloom.sources.files import stage
 
 DAY_MICROS = 24 * 3600 * 1_000_000
 
@@ -73,6 +75,11 @@ def session_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def staged_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event log written once as Parquet, for queries that read it several times."""
+    return stage(session_events(spark, folder), fresh_path(spark, "events"))
+
+
 # The same adapter for the SQL checks; a check starts with it and reads ``ev``.
 EVENTS_SQL = """
 WITH gaps AS (
