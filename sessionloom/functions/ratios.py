@@ -71,3 +71,9 @@ def round_even(value: Column | str, digits: int) -> Column:
     """Round half to even on the scaled double, the way array libraries do."""
     scale = F.lit(10.0**digits)
     return F.rint(as_column(value) * scale) / scale
+
+
+def key_hash(key: Column | str, seed: int) -> Column:
+    """Seeded 60-bit hash of a key that any engine with MD5 can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), as_column(key).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

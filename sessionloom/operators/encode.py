@@ -57,12 +57,11 @@ def equal_width(df: DataFrame, column: str, labels: list[str], to: str) -> DataF
     edges = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     low, high = edges.getField("low"), edges.getField("high")
     n = len(labels)
-    spread = F.ceil((F.col(column) - low) * n / F.nullif(high - low, F.lit(0.0)))
-    middle = F.lit(n // 2 + 1).cast("bigint")
-    bin_ = F.when(
-        F.col(column).isNotNull(),
-        F.coalesce(F.greatest(F.lit(1), F.least(F.lit(n), spread)), middle),
+    position = F.ceil(F.try_divide((F.col(column) - low) * n, high - low))
+    bin_ = F.when(high == low, F.lit(n // 2 + 1)).otherwise(
+        F.greatest(F.lit(1), F.least(F.lit(n), position))
     )
+    bin_ = F.when(F.col(column).isNotNull(), bin_)
     names = F.array(*[F.lit(label) for label in labels])
     return df.withColumn(to, F.try_element_at(names, bin_.cast("int")))
 

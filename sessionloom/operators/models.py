@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.cluster import cut_lineage
+from sessionloom.functions.ratios import key_hash
 from sessionloom.operators.encode import feature_vector, standardize
 from sessionloom.operators.score import leaderboard, metrics
 
@@ -24,7 +25,7 @@ from sessionloom.operators.score import leaderboard, metrics
 
 def split_bucket(key: str, seed: int, buckets: int):
     """Stable bucket of a key; rows with one key never end up on both sides of a split."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int")
+    return F.pmod(key_hash(key, seed), F.lit(buckets)).cast("int")
 
 
 def fit_side_by_side(session: SparkSession, fit, items: list, parallelism: int = 4) -> list:

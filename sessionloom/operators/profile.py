@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,104 +64,82 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation, without gathering a column in one task.
 
-    A mergeable sketch brackets each quantile between two values of the column; only rows inside
-    the bracket matter from then on. Brackets are sketched again until at most ``keep`` rows lie
-    inside, and the few values left are counted and ranked. Only bracket ends reach the driver.
+    A mergeable sketch proposes a narrow range of values around each quantile, a counting pass
+    confirms it, and only rows inside the range matter from then on. This repeats until at most
+    ``keep`` rows are left, whose values are counted and ranked. Only range ends and counts reach
+    the driver.
     """
-    margin = 2.0 / accuracy
     targets = [(c, p) for c in columns for p in probs]
 
-    def sketch(c: str, rows, fraction: float):
-        ends = [max(0.0, fraction - margin), min(1.0, fraction + margin)]
-        return F.percentile_approx(rows, ends, accuracy)
+    def sketch(i: int, rows: Column, fraction: float) -> Column:
+        ends = [max(0.0, fraction - margin[i]), min(1.0, fraction + margin[i])]
+        return F.percentile_approx(rows, ends, accuracy).alias(f"s_{i}")
 
-    def inside(c: str, low: float, high: float):
-        return F.when(F.col(c).between(low, high), F.col(c))
+    def inside(i: int, low: float, high: float) -> Column:
+        column = F.col(targets[i][0])
+        return F.when(column.between(low, high), column)
 
+    margin = dict.fromkeys(range(len(targets)), 2.0 / accuracy)
     first = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns],
-        *[sketch(c, F.col(c), p).alias(f"s_{i}") for i, (c, p) in enumerate(targets)],
+        *[sketch(i, F.col(c), p) for i, (c, p) in enumerate(targets)],
     ).first()
-
-    def full_range(c: str) -> tuple:
-        return first[f"min_{c}"], first[f"max_{c}"]
-
-    ranks = [(first[f"n_{c}"] - 1) * p for c, p in targets]
-    open_ = {
-        i: tuple(first[f"s_{i}"]) for i, (c, _) in enumerate(targets) if first[f"n_{c}"]
-    }
-    while True:
+    rank = {i: (first[f"n_{c}"] - 1) * p for i, (c, p) in enumerate(targets)}
+    range_ = {i: (first[f"min_{c}"], first[f"max_{c}"]) for i, (c, _) in enumerate(targets)}
+    below = dict.fromkeys(range_, 0)
+    within = {i: first[f"n_{c}"] for i, (c, _) in enumerate(targets)}
+    proposed = {i: tuple(first[f"s_{i}"]) for i in range_ if within[i] > keep}
+    while proposed:
         seen = df.agg(
-            *[F.count_if(F.col(targets[i][0]) < low).alias(f"b_{i}") for i, (low, _) in open_.items()],
-            *[
-                F.count(inside(targets[i][0], low, high)).alias(f"i_{i}")
-                for i, (low, high) in open_.items()
-            ],
-        ).first() if open_ else {}
-        missed = [
-            i
-            for i in open_
-            if not (
-                seen[f"b_{i}"] <= math.floor(ranks[i])
-                and math.ceil(ranks[i]) < seen[f"b_{i}"] + seen[f"i_{i}"]
-            )
-        ]
-        if missed:  # a handful of rows: a rank can fall beside the sketched value
-            open_.update({i: full_range(targets[i][0]) for i in missed})
-            continue
-        wide = [i for i, (low, high) in open_.items() if low < high and seen[f"i_{i}"] > keep]
+            *[F.count_if(F.col(targets[i][0]) < low).alias(f"b_{i}") for i, (low, _) in proposed.items()],
+            *[F.count(inside(i, *ends)).alias(f"i_{i}") for i, ends in proposed.items()],
+        ).first()
+        for i, ends in proposed.items():
+            under, among = seen[f"b_{i}"], seen[f"i_{i}"]
+            if under <= math.floor(rank[i]) and math.ceil(rank[i]) < under + among:
+                range_[i], below[i], within[i] = ends, under, among
+            else:
+                margin[i] *= 4
+        wide = [i for i in proposed if range_[i][0] < range_[i][1] and within[i] > keep]
         if not wide:
             break
         again = df.agg(
             *[
-                sketch(
-                    targets[i][0],
-                    inside(targets[i][0], *open_[i]),
-                    (ranks[i] - seen[f"b_{i}"]) / seen[f"i_{i}"],
-                ).alias(f"s_{i}")
+                sketch(i, inside(i, *range_[i]), (rank[i] - below[i]) / within[i])
                 for i in wide
             ]
         ).first()
-        shrunk = {i: tuple(again[f"s_{i}"]) for i in wide if tuple(again[f"s_{i}"]) != open_[i]}
-        if not shrunk:  # a few values with very many copies: counting them is small again
-            break
-        open_.update(shrunk)
-
-    found = {
-        i: (float(low), float(low)) for i, (low, high) in open_.items() if low == high
-    }
-    left = [i for i in open_ if i not in found]
-    if left:
-        need = {i: (math.floor(ranks[i]) - seen[f"b_{i}"], math.ceil(ranks[i]) - seen[f"b_{i}"]) for i in left}
+        # A range that does not shrink any more holds few values with many copies each.
+        proposed = {i: tuple(again[f"s_{i}"]) for i in wide if tuple(again[f"s_{i}"]) != range_[i]}
+
+    filled = [i for i in range_ if within[i]]
+    keys = [str(i) for i in filled]
+
+    def wanted(place) -> Column:
+        ranks = [F.lit(x) for i in filled for x in (str(i), place(rank[i]) - below[i])]
+        return F.try_element_at(F.create_map(*ranks), F.col("_target"))
+
+    found = {}
+    if filled:
         values = (
-            df.select(*[inside(targets[i][0], *open_[i]).cast("double").alias(str(i)) for i in left])
-            .unpivot([], [str(i) for i in left], "_target", "_v")
+            df.select(*[inside(i, *range_[i]).cast("double").alias(str(i)) for i in filled])
+            .unpivot([], keys, "_target", "_v")
             .where(F.col("_v").isNotNull())
             .groupBy("_target", "_v")
             .agg(F.count("*").alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(W.partitionBy("_target").orderBy("_v")))
         )
-        running = F.sum("_n").over(W.partitionBy("_target").orderBy("_v"))
-        rank = F.create_map(*[F.lit(x) for i in left for x in (str(i), need[i][0])])
-        rank_up = F.create_map(*[F.lit(x) for i in left for x in (str(i), need[i][1])])
-        ends = (
-            values.withColumn("_upto", running)
-            .groupBy("_target")
-            .agg(
-                F.min(F.when(F.col("_upto") > rank[F.col("_target")], F.col("_v"))).alias("low"),
-                F.min(F.when(F.col("_upto") > rank_up[F.col("_target")], F.col("_v"))).alias("high"),
-            )
-            .collect()
+        ends = values.groupBy("_target").agg(
+            F.min(F.when(F.col("_upto") > wanted(math.floor), F.col("_v"))).alias("low"),
+            F.min(F.when(F.col("_upto") > wanted(math.ceil), F.col("_v"))).alias("high"),
         )
-        found.update({int(row["_target"]): (row["low"], row["high"]) for row in ends})
+        found = {int(row["_target"]): (row["low"], row["high"]) for row in ends.collect()}
     result: dict[str, list[float]] = {c: [] for c in columns}
     for i, (c, _) in enumerate(targets):
-        if i not in found:
-            result[c].append(float("nan"))
-            continue
-        low, high = found[i]
-        result[c].append(low + (high - low) * (ranks[i] - math.floor(ranks[i])))
+        low, high = found.get(i, (math.nan, math.nan))
+        result[c].append(low + (high - low) * (rank[i] - math.floor(rank[i])))
     return result
 
 

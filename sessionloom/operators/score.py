@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.ratios import clip_low
+from sessionloom.functions.ratios import clip_low, key_hash
 from sessionloom.operators.lookup import attach, last_wins
 from sessionloom.operators.positions import number_in_order
 
@@ -87,13 +87,13 @@ def assign_at_random(
     """Give each key one of the predictions, drawn with replacement by a seeded hash of the key."""
     numbered = number_in_order(predictions.select(id_, prediction), id_, "_draw")
     total = predictions.agg(F.count("*")).scalar()
-    drawn = template.withColumn("_draw", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), total))
+    drawn = template.withColumn("_draw", F.pmod(key_hash(key, seed), total))
     return drawn.join(numbered.select("_draw", prediction), "_draw").drop("_draw")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, drawn by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(key_hash(key, seed), key).limit(n)
 
 
 def clip_predictions(df: DataFrame, prediction: str, low: float = 0.0) -> DataFrame:

@@ -102,13 +102,12 @@ def vector_groups(weights: DataFrame) -> DataFrame:
 
     Copies are linked to one representative instead of to each other.
     """
-    signature = F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w"))))
-    signed = weights.groupBy("id").agg(F.xxhash64(signature).alias("h1"), F.md5(
-        F.to_json(signature)).alias("h2"))
-    shared = signed.groupBy("h1", "h2").agg(
+    entries = F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w"))))
+    signed = weights.groupBy("id").agg(F.sha2(F.to_json(entries), 256).alias("signature"))
+    shared = signed.groupBy("signature").agg(
         F.min("id").alias("same_as"), F.count("*").alias("copies")
     )
-    return signed.join(shared, ["h1", "h2"]).select("id", "same_as", "copies")
+    return signed.join(shared, "signature").drop("signature")
 
 
 def linkage_clusters(

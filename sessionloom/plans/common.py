@@ -35,3 +35,8 @@ def train_part(events: DataFrame) -> DataFrame:
 
 def test_part(events: DataFrame) -> DataFrame:
     return events.where(F.col("split") == "test")
+
+
+def key_hash_sql(key: str, seed: int) -> str:
+    """``functions.ratios.key_hash`` for the SQL checks."""
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 15) AS BIGINT)"

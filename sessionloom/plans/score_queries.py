@@ -10,7 +10,7 @@ from sessionloom.functions.fixed_values import BAGGING_SEEDS
 from sessionloom.operators import models, profile, score
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.sessions import basic_features, mean_per_key
-from sessionloom.plans.common import TIE_SHIFT, rounded, test_part, train_part
+from sessionloom.plans.common import TIE_SHIFT, key_hash_sql, rounded, test_part, train_part
 from sessionloom.plans.registry import query
 from sessionloom.plans.session_queries import KEY, RICH_COUNTS, rich
 from sessionloom.sources import files
@@ -306,21 +306,44 @@ def residual_histogram(spark, folder):
     return rounded(profile.histogram(residuals, "residual", 20))
 
 
-@query("random_assignment")
+@query(
+    "random_assignment",
+    EVENTS_SQL
+    + f"""
+, p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS draw,
+               {ROW_PREDICTION_SQL} AS prediction FROM ev WHERE split = 'test'),
+t AS (SELECT DISTINCT user_session FROM ev WHERE split = 'test')
+SELECT user_session, round(prediction + 3e-9, 6) AS prediction
+FROM t JOIN p ON draw = {key_hash_sql("user_session", 42)} % (SELECT count(*) FROM p)""",
+)
 def random_assignment(spark, folder):
     test = test_part(staged_events(spark, folder))
     template = test.select(KEY).distinct()
-    return score.assign_at_random(
+    assigned = score.assign_at_random(
         template, _row_predictions(test), KEY, "event_id", "prediction", 42
     )
+    return rounded(assigned)
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    EVENTS_SQL
+    + f"""
+SELECT event_id, user_session, value FROM ev
+ORDER BY {key_hash_sql("event_id", 42)}, event_id LIMIT 20""",
+)
 def sample_rows(spark, folder):
-    return score.sample_rows(session_events(spark, folder), "event_id", 20, 42)
+    events = session_events(spark, folder).select("event_id", KEY, "value")
+    return score.sample_rows(events, "event_id", 20, 42)
 
 
-@query("hash_split")
+@query(
+    "hash_split",
+    EVENTS_SQL
+    + f"""
+SELECT event_id, user_session, {key_hash_sql("user_session", 42)} % 100 < 20 AS is_validation
+FROM ev""",
+)
 def hash_split(spark, folder):
     return models.hash_split(session_events(spark, folder).select("event_id", KEY), KEY)
 
@@ -553,6 +576,26 @@ def cv_scores(spark, folder):
     return models.cross_validate(train, models.linear(), 3)
 
 
+@query(
+    "cv_scores_one_feature",
+    EVENTS_SQL
+    + f"""
+, b AS (SELECT user_session, max(session_value) AS y, count(*) AS x,
+               {key_hash_sql("user_session", 43)} % 3 AS fold
+        FROM ev WHERE split = 'train' GROUP BY user_session),
+m AS (SELECT f.fold, regr_slope(y, x) AS m, regr_intercept(y, x) AS i
+      FROM b, (SELECT DISTINCT fold FROM b) f WHERE b.fold <> f.fold GROUP BY f.fold),
+e AS (SELECT fold, sqrt(avg((y - i - m * x) ** 2)) AS rmse FROM b JOIN m USING (fold)
+      GROUP BY fold)
+SELECT round(avg(rmse) + 3e-9, 6) AS rmse_mean, round(stddev_pop(rmse) + 3e-9, 6) AS rmse_std
+FROM e""",
+)
+def cv_scores_one_feature(spark, folder):
+    sessions = basic_features(session_events(spark, folder))
+    train = models.training_table(sessions, KEY, ["event_count"], "session_value")
+    return rounded(models.cross_validate(train, models.linear(solver="normal"), 3))
+
+
 @query("random_search_scores")
 def random_search_scores(spark, folder):
     train, _ = _basic(spark, folder)
