@@ -53,7 +53,7 @@ def similar_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
     from_common = W.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
     rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_common))
     heads = ranked.withColumn("rest", rest).where(F.col("rest") >= min_sim - SLACK)
-    heads = cut_lineage(heads.select("id", "term", "rest"))
+    heads = heads.select("id", "term", "rest")
 
     hot = heads.groupBy("term").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("blocks"))
     blocked = heads.join(hot.where("blocks > 1"), "term", "left").withColumn(
@@ -126,7 +126,7 @@ def linkage_clusters(
     sizes = groups.groupBy(F.col("same_as").alias("id")).agg(F.max("copies").alias("size"))
     clusters = cut_lineage(weights.join(sizes, "id"))
     min_sim = 1.0 - threshold
-    for _ in range(max_rounds):
+    for number in range(1, max_rounds + 1):
         close = similar_pairs(clusters.select("id", "term", "w"), max(min_sim, SLACK))
         close = close.withColumn("sim", F.round("sim", 12)).where(
             F.col("sim") > F.lit(round(min_sim, 12))
@@ -145,7 +145,9 @@ def linkage_clusters(
         )
         if merges.isEmpty():
             break
-        members = cut_lineage(_renamed(members, "cluster", merges))
+        members = _renamed(members, "cluster", merges)
+        if number % 5 == 0:
+            members = cut_lineage(members)
         moved = _renamed(clusters, "id", merges)
         total = (
             _renamed(clusters.select("id", "size").distinct(), "id", merges)

