@@ -60,7 +60,7 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10_000,
-    keep: int = 1_000_000,
+    keep: int = 100_000,
 ) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation, without gathering a column in one task.
 
@@ -71,9 +71,8 @@ def exact_quantiles(
     """
     targets = [(c, p) for c in columns for p in probs]
 
-    def sketch(i: int, rows: Column, fraction: float) -> Column:
-        ends = [max(0.0, fraction - margin[i]), min(1.0, fraction + margin[i])]
-        return F.percentile_approx(rows, ends, accuracy).alias(f"s_{i}")
+    def around(i: int, fraction: float) -> list[float]:
+        return [max(0.0, fraction - margin[i]), min(1.0, fraction + margin[i])]
 
     def inside(i: int, low: float, high: float) -> Column:
         column = F.col(targets[i][0])
@@ -84,13 +83,23 @@ def exact_quantiles(
         *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns],
-        *[sketch(i, F.col(c), p) for i, (c, p) in enumerate(targets)],
+        # One sketch per column answers for all its quantiles.
+        *[
+            F.percentile_approx(
+                c, [end for i, (d, p) in enumerate(targets) if d == c for end in around(i, p)], accuracy
+            ).alias(f"s_{c}")
+            for c in columns
+        ],
     ).first()
     rank = {i: (first[f"n_{c}"] - 1) * p for i, (c, p) in enumerate(targets)}
     range_ = {i: (first[f"min_{c}"], first[f"max_{c}"]) for i, (c, _) in enumerate(targets)}
     below = dict.fromkeys(range_, 0)
     within = {i: first[f"n_{c}"] for i, (c, _) in enumerate(targets)}
-    proposed = {i: tuple(first[f"s_{i}"]) for i in range_ if within[i] > keep}
+    proposed = {}
+    for i, (c, p) in enumerate(targets):
+        if within[i] > keep:
+            at = 2 * probs.index(p)
+            proposed[i] = tuple(first[f"s_{c}"][at : at + 2])
     while proposed:
         seen = df.agg(
             *[F.count_if(F.col(targets[i][0]) < low).alias(f"b_{i}") for i, (low, _) in proposed.items()],
@@ -107,7 +116,9 @@ def exact_quantiles(
             break
         again = df.agg(
             *[
-                sketch(i, inside(i, *range_[i]), (rank[i] - below[i]) / within[i])
+                F.percentile_approx(
+                    inside(i, *range_[i]), around(i, (rank[i] - below[i]) / within[i]), accuracy
+                ).alias(f"s_{i}")
                 for i in wide
             ]
         ).first()
