@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,20 +71,24 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...
     )
 
 
+def row_key(text: str, seed: int) -> Column:
+    """A seeded hash of doc_id and text as hexadecimal digits."""
+    return F.md5(
+        F.concat_ws(
+            ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+            F.md5(F.coalesce(F.col(text), F.lit(""))),
+        )
+    )
+
+
 def word_streams(docs: DataFrame, text: str, seed: int) -> DataFrame:
     """doc_id, source, size of every row, with the row's start in the shuffled stream of its source.
 
     The order in a source is a seeded hash of doc_id and text; rows are summed by the upper part of
     that hash first, so no source is ordered in one task.
     """
-    key = F.md5(
-        F.concat_ws(
-            ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-            F.md5(F.coalesce(F.col(text), F.lit(""))),
-        )
-    )
     rows = docs.select(
-        "doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("_key"),
+        "doc_id", "source", word_count(F.col(text)).alias("size"), row_key(text, seed).alias("_key")
     )
     return store(rows.withColumn("_bucket", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")), "sizes")
 
@@ -204,3 +208,19 @@ def mix(
         .drop("_row")
     )
     return Mix(sources, slots, placed, taken)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: a row whose words are taken t times on
+    average stands t times, rounded up or down by a hash so that sums stay near the targets. Equal
+    rows stand equally often; a text without words has nothing to take and goes."""
+    taken = mix(docs, text, seed=seed, **options).taken
+    shares = taken.groupBy("_key").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times")).where("_times > 0")
+    luck = F.conv(F.substring("_key", 9, 8), 16, 10).cast("double") / float(1 << 32)
+    times = shares.withColumn("_copies", F.floor(F.col("_times") + luck).cast("int")).where("_copies > 0")
+    keyed = docs.withColumn("_key", row_key(text, seed))
+    return (
+        keyed.join(times.select("_key", "_copies"), "_key")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*docs.columns)
+    )
