@@ -6,9 +6,13 @@ chunk is therefore indexed four times, each time without one of its symbols: all
 threshold share a key. Documents of similarity 0.75 differ in 8 of 32 symbols on average, and one
 chunk of them all but surely agrees in three symbols; pairs are confirmed on whole shingle sets.
 
-Documents with equal sets are one node. A first round ties every node to the smallest one of each
-key; only keys whose nodes are still in different components are paired in a second round, and only
-across components, so that groups of thousands of near copies never meet pair by pair.
+Documents with equal sets are one node. A first round ties every node to the most central one of
+each key, the one that shares most keys with others; only keys whose nodes are still in different
+components go to a second round. There a node leaves for good if over a quarter of its shingles occur
+in no other node of the round: it cannot reach the similarity with any. The rest of a key meet with
+their whole sets: an index of the shingles gives every node of a smaller component its exact overlap
+with all others, and one link for each component it reaches goes on. Keys with many shingles are
+split into blocks that meet two by two; nothing is emitted pair by pair.
 """
 
 from __future__ import annotations
@@ -21,7 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, lists, mixed, odd_numbers, word_hashes, word_spans
+from sessionloom.llm.arrays import (
+    blocks,
+    lists,
+    mixed,
+    odd_numbers,
+    span_list,
+    word_hashes,
+    word_spans,
+)
 from sessionloom.llm.storage import batch_settings, cut_lineage, store
 
 SHINGLE = 5
@@ -29,7 +41,8 @@ SYMBOLS, CHUNKS, WIDTH = 32, 8, 16
 PER_CHUNK = SYMBOLS // CHUNKS
 MOST_DIFFERENT = 2 * CHUNKS - 1
 SHARE = 75  # percent
-HOT_BUCKET = 500  # nodes of a key beyond which the key is refined by a second chunk
+HOT_BUCKET = 20_000  # nodes of a key beyond which the key is refined by a second chunk
+BLOCK_SHINGLES = 1_000_000  # of a block of a key
 BROADCAST_ROWS = 1_000_000
 
 
@@ -208,11 +221,14 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def sets_of(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Stored shingle sets of the documents named by the column ``node``."""
+    ids = cut_lineage(nodes.select(F.col("node").alias("doc_id")).distinct())
+    return store(shingle_sets(docs.join(checked_broadcast(ids), "doc_id", "left_semi"), text), "shingles")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole shingle sets have the wanted similarity."""
-    nodes = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = docs.join(checked_broadcast(nodes), "doc_id", "left_semi")
-    sets = store(shingle_sets(wanted, text), "shingles")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -223,7 +239,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, text: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def sharing_counts(sets: DataFrame) -> DataFrame:
+    """(node, shared): how many shingles of each node occur in another node too."""
+    lone = (
+        sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s")
+        .agg(F.count("*").alias("_n"), F.min("doc_id").alias("node")).where("_n = 1")
+        .groupBy("node").agg(F.count("*").alias("_lone"))
+    )
+    sizes = sets.groupBy(F.col("doc_id").alias("node")).agg(F.max(F.size("shingles")).alias("_size"))
+    return sizes.join(lone, "node", "left").select(
+        "node", (F.col("_size") - F.coalesce("_lone", F.lit(0))).alias("shared")
+    )
+
+
+def links_across(
+    nodes: np.ndarray, parts: np.ndarray, flat: np.ndarray, first: np.ndarray
+) -> list[tuple[int, int]]:
+    """Links between components among nodes with whole shingle sets: for each node of all components
+    but the largest, one for every other component in reach. Components that were linked count as
+    one from then on."""
+    sizes = np.diff(first)
+    _, shingle = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    order = np.argsort(shingle, kind="stable")
+    holders = owner[order]
+    count = np.bincount(shingle)
+    place = np.cumsum(count) - count
+    part = np.unique(parts, return_inverse=True)[1]
+    crowd = np.bincount(part)
+    found = []
+    for i in np.flatnonzero(part != crowd.argmax()):
+        mine = shingle[first[i] : first[i + 1]]
+        mine = mine[count[mine] > 1]
+        if 100 * len(mine) < SHARE * sizes[i]:
+            continue
+        common = np.bincount(holders[span_list(place[mine], count[mine])], minlength=len(nodes))
+        near_by = (100 * common >= SHARE * (sizes + sizes[i] - common)) & (part != part[i])
+        for other in np.unique(part[near_by]):
+            j = int(np.flatnonzero(near_by & (part == other))[0])
+            found.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+            part[part == other] = part[i]
+            near_by &= part != part[i]
+    return found
+
+
+def meetings(rows: DataFrame, sets: DataFrame, block_shingles: int) -> DataFrame:
+    """Confirmed links (a, b) across components among the nodes of every key."""
+    keys = ["slot", "value", "slot2", "value2"]
+    crowds = rows.groupBy(*keys).agg(F.sum("n").alias("_all"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    split = crowds.where("_low <> _high").select(*keys, F.ceil(F.col("_all") / block_shingles).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    blocked = (
+        rows.join(split, keys).withColumn("_own", own).withColumn("_other", other)
+        .select(
+            *keys, F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "component"
+        )
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = group.column("shingles").combine_chunks()
+        first = column.offsets.to_numpy()
+        links = links_across(
+            group.column("node").to_numpy(), group.column("component").to_numpy(),
+            column.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0],
+        )
+        return pa.table(
+            {"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())}
+        )
+
+    full = blocked.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    return full.groupBy(*keys, "x", "y").applyInArrow(meet, "a long, b long").distinct()
+
+
+def near_groups(
+    docs: DataFrame, text: str = "text", hot_bucket: int = HOT_BUCKET, block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     component_id is the smallest doc_id that links reach, kept is doc_id = component_id. A text
@@ -247,49 +343,54 @@ def near_groups(docs: DataFrame, text: str = "text", hot_bucket: int = HOT_BUCKE
 
     slim = nodes.select("node", "n", "chunks")
     keys = slim.select("node", F.inline(index_keys(F.col("chunks"))))
-    heads = keys.groupBy("slot", "value").agg(F.min("node").alias("head"), F.max("node").alias("_last"))
-    heads = store(heads.where("head <> _last").select("slot", "value", "head"), "heads")
-    shared = store(keys.join(heads, ["slot", "value"]).select("slot", "value", "node", "head"), "keys")
-    star = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    crowds = keys.groupBy("slot", "value").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    shared = store(keys.join(crowds, ["slot", "value"]), "keys")
+    central = shared.groupBy("node").agg(F.sum("crowd").alias("_weight"))
+    heads = (
+        shared.join(central, "node").groupBy("slot", "value")
+        .agg(F.max(F.struct("_weight", (-F.col("node")).alias("_node"))).alias("_head"))
+        .select("slot", "value", (-F.col("_head._node")).alias("head"))
+    )
+    star = (
+        shared.join(heads, ["slot", "value"]).where("node <> head")
+        .select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    )
     p = slim.select(F.struct("node", "n", "chunks").alias("p"))
     q = slim.select(F.struct("node", "n", "chunks").alias("q"))
-    star = (
+    star = cut_lineage(
         star.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node"))
         .where(near("p", "q")).select("a", "b").distinct()
     )
-    star = cut_lineage(star)
-    first = cut_lineage(confirmed(star, docs, text).union(same_row).distinct())
+    first = cut_lineage(confirmed(star, sets_of(both_sides(star), docs, text)).union(same_row).distinct())
     grouped = components(first)
 
+    def still_mixed(rows: DataFrame) -> DataFrame:
+        kinds = (
+            rows.groupBy("slot", "value")
+            .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_rows"))
+            .where("_low <> _high").select("slot", "value", "_rows")
+        )
+        return rows.join(kinds, ["slot", "value"])
+
     placed = shared.join(grouped, "node", "left").select(
         "slot", "value", "node", F.coalesce("component", "node").alias("component")
     )
-    mixed_keys = (
-        placed.groupBy("slot", "value")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_rows"))
-        .where("_low <> _high").select("slot", "value", "_rows")
+    open_rows = store(still_mixed(placed).drop("_rows"), "mixed")
+    sets = sets_of(open_rows, docs, text)
+    able = sharing_counts(sets).join(slim, "node").where(100 * F.col("shared") >= SHARE * F.col("n"))
+    open_rows = still_mixed(open_rows.join(able, "node"))
+    whole = ["slot", "value", "node", "component", "n", "_rows"]
+    calm = open_rows.where(F.col("_rows") <= hot_bucket).select(
+        *whole, F.lit(-1).cast("byte").alias("slot2"), F.lit(0).cast("long").alias("value2")
     )
-    open_rows = placed.join(mixed_keys, ["slot", "value"]).join(slim, "node")
-    one = F.struct("node", "n", "chunks", "component")
-    calm = open_rows.where(F.col("_rows") <= hot_bucket).select("slot", "value", one.alias("p"))
     hot = open_rows.where(F.col("_rows") > hot_bucket).select(
-        "slot", "value", one.alias("p"), F.inline(finer_keys(F.col("slot"), F.col("chunks")))
+        *whole, F.inline(finer_keys(F.col("slot"), F.col("chunks")))
     )
-
-    def crossing(part: DataFrame, on: list[str]) -> DataFrame:
-        other = part.select(*on, F.col("p").alias("q"))
-        return (
-            part.join(other, on)
-            .where((F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & near("p", "q"))
-            .select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-        )
-
-    pairs = crossing(calm, ["slot", "value"]).union(crossing(hot, ["slot", "value", "slot2", "value2"])).distinct()
-    pairs = cut_lineage(pairs.join(star, ["a", "b"], "left_anti"))
+    pairs = cut_lineage(meetings(calm.unionByName(hot), sets, block_shingles))
     if pairs.isEmpty():
         final = grouped
     else:
-        final = components(first.union(confirmed(pairs, docs, text)))
+        final = components(first.union(pairs))
     found = home.join(final, home["home"] == final["node"], "left").select(
         "doc_id", F.coalesce("component", "home").alias("_c")
     )
