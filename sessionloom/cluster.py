@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +23,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a local temporary folder only in local mode."""
+    """The checkpoint folder of the cluster; where none is set, in local mode, one in the warehouse."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        path = tempfile.mkdtemp(prefix="sessionloom-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path

@@ -14,8 +14,8 @@ from sessionloom.operators.sessions import KEY, count_of
 
 
 def user_history(train: DataFrame) -> DataFrame:
-    """Mean label, distinct sessions and purchases of each user, from labelled rows."""
-    return train.groupBy("user_id").agg(
+    """Mean label, distinct sessions and purchases of each known user, from labelled rows."""
+    return train.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.avg("session_value").alias("user_avg_session_value"),
         F.countDistinct(KEY).alias("user_session_count"),
         count_of("BUY").alias("user_buy_count"),
@@ -24,13 +24,13 @@ def user_history(train: DataFrame) -> DataFrame:
 
 def inferred_prices(train: DataFrame) -> DataFrame:
     """Mean label of the purchases of a product."""
-    bought = train.where(F.col("event_type") == "BUY")
+    bought = train.where((F.col("event_type") == "BUY") & F.col("product_id").isNotNull())
     return bought.groupBy("product_id").agg(F.avg("session_value").alias("inferred_price"))
 
 
 def category_popularity(train: DataFrame) -> DataFrame:
     """Purchases per category."""
-    bought = train.where(F.col("event_type") == "BUY")
+    bought = train.where((F.col("event_type") == "BUY") & F.col("category_id").isNotNull())
     return bought.groupBy("category_id").agg(F.count("*").alias("category_popularity"))
 
 
@@ -40,7 +40,8 @@ def label_mean(train: DataFrame) -> Column:
 
 def target_mean(df: DataFrame, key: str, label: str, fit_on: DataFrame, to: str) -> DataFrame:
     """Mean label per key from the fitted rows; null for unseen keys."""
-    return attach(df, fit_on.groupBy(key).agg(F.avg(label).alias(to)), key)
+    known = fit_on.where(F.col(key).isNotNull())
+    return attach(df, known.groupBy(key).agg(F.avg(label).alias(to)), key)
 
 
 def with_history(events: DataFrame, train: DataFrame) -> DataFrame:

@@ -166,11 +166,16 @@ def holdout_search(
 
 
 def refit(train: DataFrame, specs: dict[str, Estimator]) -> dict:
-    """Fit on all labelled rows."""
-    return {
-        name: spec.fit(train.withColumn("is_validation", F.lit(False)))
-        for name, spec in specs.items()
-    }
+    """Fit on all labelled rows; boosting that stops early keeps the number of trees it found."""
+    return {name: _whole(spec, train).fit(train) for name, spec in specs.items()}
+
+
+def _whole(spec: Estimator, train: DataFrame) -> Estimator:
+    if not (spec.hasParam("validationIndicatorCol") and spec.isSet("validationIndicatorCol")):
+        return spec
+    whole = spec.copy({spec.maxIter: spec.fit(train).getNumTrees})
+    whole.clear(whole.validationIndicatorCol)
+    return whole
 
 
 def importances(model, features: list[str], spark) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -110,23 +112,21 @@ def vector_groups(weights: DataFrame) -> DataFrame:
     return signed.join(shared, "signature").drop("signature")
 
 
-def linkage_clusters(
-    weights: DataFrame, threshold: float, max_rounds: int = 1000
-) -> DataFrame:
+def linkage_clusters(weights: DataFrame, threshold: float) -> DataFrame:
     """Average-linkage clusters of unit vectors cut at a cosine distance: ``(id, cluster)``.
 
     The mean similarity of two clusters is the dot product of their mean vectors, so a cluster is
     one sparse vector and its size; no table of all distances is needed. In each round every
     cluster finds its most similar partner, and pairs that choose each other merge. For average
-    linkage this gives the same tree as merging one closest pair at a time. Rounds end when no
-    two clusters are closer than the threshold. Equal similarities are ordered by a hash of the pair.
+    linkage this gives the same tree as merging one closest pair at a time. The closest pair of all
+    merges in every round, so rounds end: when no two clusters are closer than the threshold. Equal similarities are ordered by a hash of the pair.
     """
     groups = cut_lineage(vector_groups(weights))
     members = groups.select("id", F.col("same_as").alias("cluster"))
     sizes = groups.groupBy(F.col("same_as").alias("id")).agg(F.max("copies").alias("size"))
     clusters = cut_lineage(weights.join(sizes, "id"))
     min_sim = 1.0 - threshold
-    for number in range(1, max_rounds + 1):
+    for number in itertools.count(1):
         close = similar_pairs(clusters.select("id", "term", "w"), max(min_sim, SLACK))
         close = close.withColumn("sim", F.round("sim", 12)).where(
             F.col("sim") > F.lit(round(min_sim, 12))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,37 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """An event log from CSV files with a header."""
-    return read_csv(spark, path, schema)
+    """An event log from CSV files with a header.
+
+    Columns are found by name in any order; a missing one is null. Times may have a ``T`` or a space,
+    fractions, and a zone or offset (then in UTC); NaN and infinite numbers are null.
+    """
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    there = set(raw.columns)
+    return raw.select(
+        *[
+            _typed(F.col(f"`{f.name}`") if f.name in there else F.lit(None).cast("string"), f.dataType)
+            .alias(f.name)
+            for f in schema.fields
+        ]
+    )
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampNTZType):
+        zoned = text.rlike(r":.*(Z|UTC|[+-]\d{2}:?\d{2})$")
+        moment = F.convert_timezone(None, F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+        return F.when(zoned, moment).otherwise(text.try_cast("timestamp_ntz"))
+    value = text.try_cast(kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return value
+
+
+def unparsed_times(spark: SparkSession, path: str, column: str = "event_time") -> int:
+    """Rows of event files whose time is given but in no form that can be read."""
+    raw = spark.read.options(**CSV_OPTIONS).csv(path).select(F.col(column).alias("t"))
+    return raw.where(F.col("t").isNotNull() & _typed(F.col("t"), T.TimestampNTZType()).isNull()).count()
 
 
 def read_many(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:

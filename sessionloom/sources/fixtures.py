@@ -48,7 +48,12 @@ def number_sessions(
     numbered = numbered.select(
         user, "_slot", "session_no", *[F.sum(n).over(in_session).alias(n) for n in totals]
     )
-    return df.withColumn("_slot", slot).join(numbered, [user, "_slot"]).drop("_slot")
+    placed = df.withColumn("_slot", slot)
+    sessions = numbered.select(
+        F.col(user).alias("_user"), F.col("_slot").alias("_at"), "session_no", *totals
+    )
+    same = placed[user].eqNullSafe(sessions["_user"]) & placed["_slot"].eqNullSafe(sessions["_at"])
+    return placed.join(sessions, same).drop("_user", "_at", "_slot")
 
 
 def session_events(spark: SparkSession, folder: str) -> DataFrame:
