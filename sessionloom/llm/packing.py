@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, mixed, span_list, word_hashes, word_spans, within
+from sessionloom.llm.arrays import blocks, mixed, span_list, word_hashes, word_spans
 from sessionloom.llm.storage import batch_settings, parts_for, store
 from sessionloom.llm.tokens import encoder, with_end
 
@@ -71,22 +70,42 @@ def curve_keys(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def curve_order(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, text and curve, range-partitioned and sorted by (curve, doc_id, text)."""
-    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"]
+    """doc_id, text, curve and part, split into ranges of the curve and sorted by (curve, doc_id, text).
+
+    The curve is cut at quantiles of the keys of every 16th document by hash, which only balance the
+    ranges; every document gets its own key. Documents with one key are dealt by a hash of doc_id
+    over the ranges that end in it.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"]
+    parts = parts_for(size, part_bytes)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [curve_keys(data, edges) for _, _, data, edges in blocks(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["curve"])
+
+    bounds = np.zeros(0, np.int64)
+    if parts > 1:
+        some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text").mapInArrow(keys, "curve long")
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        found = some.agg(F.percentile_approx("curve", shares, max(10_000, 10 * parts)).alias("p")).first()["p"]
+        bounds = np.array(found or [], np.int64)
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [curve_keys(data, edges) for _, _, data, edges in blocks(batch.column("text"))]
-            curve = np.concatenate([np.zeros(0, np.int64), *keys])
+            found = [curve_keys(data, edges) for _, _, data, edges in blocks(batch.column("text"))]
+            curve = np.concatenate([np.zeros(0, np.int64), *found])
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, curve, "left"), np.searchsorted(bounds, curve, "right")
+            part = low + (mixed(ids.astype(np.uint64), 12) % (high - low + 1).astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(curve)],
-                ["doc_id", "text", "curve"],
+                [batch.column("doc_id"), batch.column("text"), pa.array(curve), pa.array(part.astype(np.int32))],
+                ["doc_id", "text", "curve", "part"],
             )
 
-    keyed = rows.mapInArrow(key, "doc_id long, text string, curve long")
-    order = ["curve", "doc_id"]
-    return keyed.repartitionByRange(parts_for(size, part_bytes), *order).sortWithinPartitions(*order, "text")
+    placed = rows.mapInArrow(place, "doc_id long, text string, curve long, part int")
+    return placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("curve", "doc_id", "text")
 
 
 def pack(
@@ -109,7 +128,7 @@ def pack(
     ordered = curve_order(docs, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, filled = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, filled = encoder(tokenizer), 0
         for batch in batches:
             keys = batch.column("doc_id")
             for low, high, data, edges in blocks(batch.column("text")):
@@ -123,7 +142,7 @@ def pack(
                 raw = np.ascontiguousarray(ids, "<u4")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin - filled, end - filled)]
                 columns = {
-                    "part": pa.array(np.full(len(row), part, np.int32)),
+                    "part": batch.column("part").slice(low, high - low).take(pa.array(row)),
                     "doc_id": keys.slice(low, high - low).take(pa.array(row)),
                     "start": pa.array(begin - lows[row]),
                     "length": pa.array(end - begin),
