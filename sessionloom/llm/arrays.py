@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -113,6 +114,40 @@ def odd_numbers(count: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, count + 1, dtype=np.uint64), seed) | np.uint64(1)
 
 
+_POWERS: dict[str, np.ndarray] = {}
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
+
+
+def powers(name: str, base: int, size: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64, at least ``size`` of them."""
+    known = _POWERS.get(name, np.ones(1, np.uint64))
+    while len(known) < size:
+        known = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    if len(known) <= 4 * SLICE_BYTES:
+        _POWERS[name] = known
+    return known
+
+
+def quick_word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
+    """64-bit hashes of all words with A-Z in lower case, as polynomials of their bytes from prefix
+    sums over runs of about ``most`` bytes. For projections; to tell texts apart, use word_hashes."""
+    letters = odd_numbers(256, 31)
+    letters[65:91] = letters[97:123]
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        base = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, base + most, "right")))
+        size = int(ends[high - 1]) - base
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(letters[data[base : base + size]] * powers("up", BASE, size)[:size], out=total[1:])
+        begin = starts[low:high] - base
+        down = powers("down", pow(BASE, -1, 1 << 64), size)
+        out[low:high] = (total[ends[low:high] - base] - total[begin]) * down[begin]
+        low = high
+    return out
+
+
 def within(first: np.ndarray) -> np.ndarray:
     """For groups that start at ``first`` (one more than groups): the place of each item in its group."""
     sizes = np.diff(first)

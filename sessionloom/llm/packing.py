@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, mixed, span_list, word_hashes, word_spans
+from sessionloom.llm.arrays import blocks, mixed, quick_word_hashes, span_list, word_spans
 from sessionloom.llm.storage import batch_settings, parts_for, store
 from sessionloom.llm.tokens import encoder, with_end
 
@@ -24,7 +24,7 @@ PART_BYTES = 24 << 20
 def doc_points(data: np.ndarray, edges: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """Texts as points: every word adds one random sign per axis, drawn from its hash."""
     starts, ends, first = word_spans(data, edges)
-    bits = mixed(word_hashes(data, starts, ends), 11)
+    bits = mixed(quick_word_hashes(data, starts, ends), 11)
     sums = np.empty((len(edges) - 1, dims))
     for axis in range(dims):
         signs = ((bits >> np.uint64(axis)) & np.uint64(1)).astype(np.int64) * 2 - 1

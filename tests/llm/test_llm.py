@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sessionloom.llm import (
+    arrays,
     fingerprints, langid, licenses, lm_score, mixing, near_dedup, packing, quality, queries, token_counts, token_files,
 )
 from tests.checker import compare, connect
@@ -125,6 +126,19 @@ def test_packing_holds_every_id_once(odd):
         assert at <= 4096
 
 
+def test_quick_hashes_depend_on_the_word_alone():
+    text = b"Ab cd  abcd\tAB ab " + b"x" * 50 + b" cd \xc3\xa9 cD"
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = arrays.word_spans(data, np.array([0, len(text)]))
+    words = [text[a:b].lower() for a, b in zip(starts, ends)]
+    whole = arrays.quick_word_hashes(data, starts, ends)
+    for most in (1, 7, 40):
+        assert (arrays.quick_word_hashes(data, starts, ends, most) == whole).all()
+    assert len(set(zip(words, whole.tolist()))) == len(set(words)) == len(set(whole.tolist()))
+    none = np.zeros(0, np.int64)
+    assert len(arrays.quick_word_hashes(np.zeros(0, np.uint8), none, none)) == 0
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert(cells, 3)
