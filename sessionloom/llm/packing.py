@@ -19,6 +19,7 @@ DIMS = 4
 BITS = 10
 REACH = 4.0  # coordinates beyond this many standard deviations share the outer cells
 PART_BYTES = 24 << 20
+WEIGHT_BYTES = 1 << 10  # text bytes that count as one more key where ranges are balanced
 
 
 def doc_points(data: np.ndarray, edges: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -72,8 +73,8 @@ def curve_keys(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def curve_order(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, text, curve and part, split into ranges of the curve and sorted by (curve, doc_id, text).
 
-    The curve is cut at quantiles of the keys of every 16th document by hash, which only balance the
-    ranges; every document gets its own key. Documents with one key are dealt by a hash of doc_id
+    The curve is cut at quantiles, weighted by text size, of the keys of every 16th document by hash,
+    which only balance the ranges; every document gets its own key. Documents with one key are dealt by a hash of doc_id
     over the ranges that end in it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -82,7 +83,10 @@ def curve_order(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTE
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [curve_keys(data, edges) for _, _, data, edges in blocks(batch.column("text"))]
+            found = [
+                np.repeat(curve_keys(data, edges), 1 + np.diff(edges) // WEIGHT_BYTES)
+                for _, _, data, edges in blocks(batch.column("text"))
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["curve"])
 
     bounds = np.zeros(0, np.int64)
