@@ -159,3 +159,17 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         .withColumn("base_failed", (n < 20) | (100 * repeated > 30 * n))
         .withColumn("kept", ~F.col("base_failed") & verdict)
     )
+
+
+def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that fail no rule, with their own columns.
+
+    The verdict goes through a generator: a filter would be pushed below the projections and spell out
+    every measure, down to the words, once for each place that uses it. A row without a verdict (none
+    can be null here) would go.
+    """
+    mark = F.explode(F.when(F.col("_kept"), F.array(F.lit(True)))).alias("_mark")
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    measured = quality_rules(docs.select(row, F.col(text).alias("text")), "text", rules)
+    return measured.select("_row", F.col("kept").alias("_kept")).select("_row", mark).select(*own)

@@ -242,6 +242,15 @@ def test_longest_rule_gives_a_token_to_most_of_its_characters():
     assert token_counts.attribute(*args, "longest")[0].tolist() == [1, 1]
 
 
+def test_kept_documents_are_those_with_a_verdict(docs, odd):
+    for table in (docs, odd):
+        rows = quality.quality_rules(table.withColumnRenamed("kept", "_old") if "kept" in table.columns else table)
+        want = sorted(str(r.doc_id) for r in rows.where("kept").collect())
+        found = quality.kept_documents(table)
+        assert found.columns == table.columns and sorted(str(r.doc_id) for r in found.collect()) == want
+    assert quality.kept_documents(odd.limit(0)).count() == 0
+
+
 def test_license_alignment():
     known = licenses.Templates(licenses.TEMPLATES)
     text = "intro of the text. " * 30 + licenses.TEMPLATES["MIT"].replace("sublicense", "lend") + " outro" * 20
