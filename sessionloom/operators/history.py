@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sessionloom.functions.fixed_values import EVENT_TYPES
 from sessionloom.functions.moments import seconds_between
 from sessionloom.functions.ratios import plain_ratio
-from sessionloom.operators.encode import frequency_encode
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.sessions import KEY, count_of
 
@@ -114,26 +113,48 @@ def with_group_counts(events: DataFrame, keys: list[str] | None = None) -> DataF
 def frequency_session_stats(events: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, maximum, sum, spread and median per session of frequency-encoded columns.
 
-    A session is summed up by distinct value first. The median keeps the distinct frequencies of
-    one session, of which N rows can produce no more than about sqrt(2 N).
+    All columns go through one long form (session, column, value, count): one count, one join with
+    the shares of the fitted rows, one aggregate back. The spread is summed around the mean. It and
+    the median keep the distinct frequencies of one session, of which N rows can produce no more
+    than about sqrt(2 N). Events without a session belong to none.
     """
-    result = None
-    for column in columns:
-        freq = f"{column}_freq"
-        counted = events.groupBy(KEY, column).agg(F.count("*").alias("_n"))
-        counted = frequency_encode(counted, column, fit_on=train, to=freq)
-        counted = counted.groupBy(KEY, freq).agg(F.sum("_n").alias("_n"))
-        n, x = F.col("_n"), F.col(freq)
-        mean = F.sum(x * n) / F.sum(n)
-        spread = F.sum(x * x * n) - F.sum(x * n) * F.sum(x * n) / F.sum(n)
-        stats = counted.groupBy(KEY).agg(
-            mean.alias(f"{freq}_mean"),
-            F.max(x).alias(f"{freq}_max"),
-            F.sum(x * n).alias(f"{freq}_sum"),
-            F.sqrt(
-                F.try_divide(F.greatest(spread, F.lit(0.0)), F.sum(n).cast("double") - 1)
-            ).alias(f"{freq}_std"),
-            F.percentile(x, 0.5, n).alias(f"{freq}_median"),
+    long = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v"))
+                for i, c in enumerate(columns)
+            ]
         )
-        result = stats if result is None else result.join(stats, KEY)
-    return result
+    )
+    seen = events.where(F.col(KEY).isNotNull()).select(KEY, long)
+    seen = seen.groupBy(KEY, "_c", "_v").agg(F.count("*").alias("_n"))
+    known = train.select(long).where(F.col("_v").isNotNull())
+    known = known.groupBy("_c", "_v").agg(F.count("*").alias("_k"))
+    shares = known.select("_c", "_v", (F.col("_k") / train.agg(F.count("*")).scalar()).alias("_x"))
+    counted = (
+        seen.join(shares, ["_c", "_v"], "left")
+        .groupBy(KEY, "_c", F.coalesce("_x", F.lit(0.0)).alias("_x"))
+        .agg(F.sum("_n").alias("_n"))
+    )
+    sums, stats = [], []
+    for i, column in enumerate(columns):
+        mine = F.col("_c") == i
+        n, x = F.when(mine, F.col("_n")), F.when(mine, F.col("_x"))
+        sums += [
+            F.sum(n).alias(f"_n{i}"),
+            F.sum(x * n).alias(f"_s{i}"),
+            F.max(x).alias(f"_m{i}"),
+            F.collect_list(F.when(mine, F.struct("_x", "_n"))).alias(f"_l{i}"),
+            F.percentile(x, 0.5, F.coalesce(n, F.lit(0))).alias(f"_p{i}"),
+        ]
+        freq, mean = f"{column}_freq", F.col(f"_s{i}") / F.col(f"_n{i}")
+        parts = F.transform(f"_l{i}", lambda e: e["_n"] * (e["_x"] - mean) * (e["_x"] - mean))
+        off = F.aggregate(parts, F.lit(0.0), lambda a, e: a + e)
+        stats += [
+            mean.alias(f"{freq}_mean"),
+            F.col(f"_m{i}").alias(f"{freq}_max"),
+            F.col(f"_s{i}").alias(f"{freq}_sum"),
+            F.sqrt(F.try_divide(off, F.col(f"_n{i}").cast("double") - 1)).alias(f"{freq}_std"),
+            F.col(f"_p{i}").alias(f"{freq}_median"),
+        ]
+    return counted.groupBy(KEY).agg(*sums).select(KEY, *stats)

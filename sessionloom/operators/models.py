@@ -11,7 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,16 +83,22 @@ def fit_models(train: DataFrame, specs: dict[str, Estimator]) -> dict:
     }
 
 
+def predict_wide(models: list, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One prediction column per model beside the columns of ``df``, in one pass, and their names."""
+    names = [f"_prediction_{i}" for i in range(len(models))]
+    for model, name in zip(models, names):
+        df = model.transform(df, {model.predictionCol: name})
+    return df, names
+
+
 def predict_long(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
-    """Predictions of all models in one long table with the model's name."""
-    frames = [
-        model.transform(df).select(*keep, F.lit(name).alias("model"), "prediction")
-        for name, model in models.items()
+    """Predictions of all models in one long table with the model's name; ``df`` is read once."""
+    wide, columns = predict_wide(list(models.values()), df)
+    rows = [
+        F.struct(F.lit(name).alias("model"), F.col(column).alias("prediction"))
+        for name, column in zip(models, columns)
     ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    return wide.select(*keep, F.inline(F.array(*rows)))
 
 
 def model_scores(models: dict, train: DataFrame) -> DataFrame:
@@ -156,13 +162,21 @@ def holdout_search(
     train: DataFrame, spec: Estimator, grid: dict[str, list], n: int, seed: int = 42,
     parallelism: int = 4,
 ):
-    """Best of n drawn settings on one hold-out set: (model, table of trials)."""
+    """Best of n drawn settings on the rows flagged as validation: (model, table of trials).
+
+    The flag belongs to the key, so trials repeat under any partitioning; the model is fitted on all
+    rows with the best settings.
+    """
     maps = draw_grid(spec, grid, n, seed)
-    search = TrainValidationSplit(
-        estimator=spec, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="rmse"),
-        trainRatio=0.8, seed=seed, parallelism=parallelism,
-    ).fit(train)
-    return search.bestModel, _search_table(train, maps, search.validationMetrics)
+    rest, held_out = train.where(~F.col("is_validation")), train.where("is_validation")
+    rmse = RegressionEvaluator(metricName="rmse")
+    errors = fit_side_by_side(
+        train.sparkSession,
+        lambda settings: rmse.evaluate(spec.fit(rest, settings).transform(held_out)),
+        maps, parallelism,
+    )
+    best = min(range(len(maps)), key=lambda i: (errors[i], i))
+    return spec.fit(train, maps[best]), _search_table(train, maps, errors)
 
 
 def refit(train: DataFrame, specs: dict[str, Estimator]) -> dict:
@@ -205,10 +219,13 @@ def kmeans_segments(
 
 
 def seed_bagging(train: DataFrame, scoring: DataFrame, make, seeds: list[int], key: str) -> DataFrame:
-    """Mean prediction over fits that differ in their seed only."""
+    """Mean prediction of each row over fits that differ in their seed only."""
     fitted = fit_side_by_side(train.sparkSession, lambda seed: make(seed).fit(train), seeds)
-    predicted = predict_long(dict(zip(map(str, seeds), fitted)), scoring, [key])
-    return predicted.groupBy(key).agg(F.avg("prediction").alias("prediction"))
+    wide, columns = predict_wide(fitted, scoring)
+    total = F.lit(0.0)
+    for column in columns:
+        total = total + F.col(column)
+    return wide.select(key, (total / len(columns)).alias("prediction"))
 
 
 def save_pipeline(train: DataFrame, features: list[str], spec: Estimator, path: str) -> PipelineModel:

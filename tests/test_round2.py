@@ -65,3 +65,48 @@ def test_clustering_has_no_round_limit():
     import inspect
 
     assert list(inspect.signature(textsim.linkage_clusters).parameters) == ["weights", "threshold"]
+
+
+def _trees(spark):
+    rows = [(i, float(i % 7), float(i % 3), float(i % 7 + i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "key long, x double, y double, label double")
+    return models.training_table(df, "key", ["x", "y"], "label")
+
+
+def test_bagging_is_the_mean_of_its_models(spark):
+    train = _trees(spark)
+
+    def make(seed):
+        return models.forest(seed=seed, trees=3, depth=3)
+
+    seeds = [1, 2, 3]
+    got = {r["key"]: r["prediction"] for r in models.seed_bagging(train, train, make, seeds, "key").collect()}
+    fitted = {str(seed): make(seed).fit(train) for seed in seeds}
+    single = models.predict_long(fitted, train, ["key"])
+    assert single.count() == 3 * len(got)
+    for r in single.groupBy("key").agg(F.avg("prediction").alias("mean")).collect():
+        assert abs(got[r["key"]] - r["mean"]) < 1e-9
+    alone = {r["key"]: r["prediction"] for r in fitted["2"].transform(train).collect()}
+    assert {r["key"]: r["prediction"] for r in single.where("model = '2'").collect()} == alone
+
+
+def test_holdout_search_keeps_to_the_flag(spark):
+    train = _trees(spark)
+    grid = {"maxDepth": [1, 3], "numTrees": [2, 4]}
+    tables = [
+        models.holdout_search(df, models.forest(), grid, n=4)[1].collect()
+        for df in (train, train)
+    ]
+    assert tables[0] == tables[1] and len(tables[0]) == 4
+    assert tables[0][0]["rmse"] == min(r["rmse"] for r in tables[0])
+
+
+def test_equal_frequencies_have_no_spread(spark):
+    rows = [("s1", "a", "p"), ("s1", "b", "p"), ("s1", "c", "q"), ("s2", "a", None), (None, "a", "p")]
+    events = spark.createDataFrame(rows, "user_session string, a string, b string")
+    train = spark.createDataFrame([("s", v, "p") for v in "abc"], "user_session string, a string, b string")
+    found = history.frequency_session_stats(events, train, ["a", "b"]).collect()
+    by = {r["user_session"]: r for r in found}
+    assert set(by) == {"s1", "s2"} and by["s1"]["a_freq_std"] == 0.0
+    assert by["s1"]["b_freq_mean"] == 2 / 3 and by["s1"]["b_freq_max"] == 1.0
+    assert by["s2"]["b_freq_sum"] == 0.0 and by["s2"]["b_freq_std"] is None
