@@ -3,9 +3,8 @@
 A token is a word's hash bucket. The network sees the classes of two words to the left and two to
 the right and gives the probability of the class of the word between; within a class a bucket has
 its share of the corpus counts. The sum of the logarithms over all words scores a text. Counts come
-from all documents. Training windows are a fixed share of all words, so they grow with the corpus;
-each part trains on its windows, and the weights are averaged by the number of windows after every
-round.
+from all documents, and the window around every word is trained on in every round: each part trains
+on its texts, and the weights are averaged by the number of windows after the round.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, mixed, word_hashes, word_spans
+from sessionloom.llm.arrays import blocks, pieces, word_hashes, word_spans
 from sessionloom.llm.storage import batch_settings, parts_for, store
 
 BUCKETS = 1 << 16
@@ -27,7 +26,6 @@ SHARED_CLASSES = 32
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 32
-TRAIN_ONE_IN = 32
 ROUNDS = 3
 BATCH = 256
 RATE = 0.15
@@ -141,40 +139,41 @@ def fresh_network(counts: np.ndarray, seed: int) -> Network:
     )
 
 
-def training_windows(docs: DataFrame, network: Network, one_in: int) -> DataFrame:
-    """Windows around one word in ``one_in``, picked by a hash of the words beside it and its place."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """The buckets of all words of every text, 16 bits each; texts without words are left out."""
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, edges in blocks(batch.column("text")):
                 buckets, first = word_buckets(data, edges)
-                classes = network.class_of[buckets]
-                place = np.arange(len(buckets)) - np.repeat(first[:-1], np.diff(first))
-                key = mixed(place.astype(np.uint64) * np.uint64(BUCKETS) + buckets.astype(np.uint64), 17)
-                chosen = np.flatnonzero(key % np.uint64(one_in) == 0)
-                beside = contexts(classes, first)[chosen]
-                columns = [pa.array(beside[:, k]) for k in range(len(SIDES))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(classes[chosen])], [*(f"c{k}" for k in range(len(SIDES))), "target"]
-                )
+                ids = pieces(buckets.astype("<u2").view(np.uint8), 2 * first).filter(pa.array(np.diff(first) > 0))
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.binary())], ["ids"])
+
+    return docs.mapInArrow(encode, "ids binary")
+
 
-    schema = ", ".join(f"c{k} short" for k in range(len(SIDES))) + ", target short"
-    return docs.mapInArrow(pick, schema)
+def decoded(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a batch of encoded texts, and the number of the first word of each text (one
+    more than texts)."""
+    sizes = np.fromiter((len(x) // 2 for x in ids.to_pylist()), np.int64, len(ids))
+    data = b"".join(ids.to_pylist())
+    return np.frombuffer(data, "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def trained(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, seed: int = 3) -> Network:
+def trained(docs: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> Network:
     """Counts over all texts, then rounds of training in every part and averaging."""
     counts = bucket_counts(docs)
     network = fresh_network(counts, seed)
-    parts = parts_for(int(counts.sum()) // one_in, PART_WINDOWS)
-    windows = store(training_windows(docs, network, one_in).repartition(parts), "windows")
+    parts = parts_for(int(counts.sum()), PART_WINDOWS)
+    texts = store(encoded(docs).repartition(parts), "texts")
     for turn in range(rounds):
         def step(batches: Iterator[pa.RecordBatch], now=network, rate=RATE / (1 + turn)) -> Iterator[pa.RecordBatch]:
             own, seen = now.with_weights(now.weights()), 0
             for batch in batches:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                own.train(np.stack(columns[:-1], axis=1), columns[-1].astype(np.int64), rate)
-                seen += len(batch)
+                buckets, first = decoded(batch.column("ids"))
+                classes = now.class_of[buckets]
+                own.train(contexts(classes, first), classes.astype(np.int64), rate)
+                seen += len(buckets)
             if seen:
                 flat = own.weights().astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -183,7 +182,7 @@ def trained(docs: DataFrame, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS, s
                 )
 
         means = (
-            windows.mapInArrow(step, "i long, total double, n double").groupBy("i")
+            texts.mapInArrow(step, "i long, total double, n double").groupBy("i")
             .agg((F.sum("total") / F.sum("n")).alias("w")).toArrow()
         )  # one number for each weight
         if means.num_rows:
@@ -216,9 +215,7 @@ def scores(docs: DataFrame, network: Network) -> DataFrame:
     )
 
 
-def pseudo_likelihood(
-    docs: DataFrame, text: str = "text", one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS
-) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob, perplexity of every row of ``docs``.
 
     The network is trained on the same documents. A text that is null or has no word has n_tokens 0,
@@ -226,4 +223,4 @@ def pseudo_likelihood(
     """
     batch_settings(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return scores(rows, trained(rows.select("text"), one_in, rounds))
+    return scores(rows, trained(rows.select("text"), rounds))

@@ -259,6 +259,18 @@ def test_license_alignment():
     assert licenses.aligned(list("xaybzc"), list("abc")) == [(1, 0), (3, 1), (5, 2)]
 
 
+def test_every_window_is_trained_on(spark, odd):
+    words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ODD)
+    counts = lm_score.bucket_counts(odd)
+    assert counts.sum() == words
+    buckets, first = lm_score.decoded(lm_score.encoded(odd).toArrow().column("ids").combine_chunks())
+    assert (np.bincount(buckets, minlength=len(counts)) == counts).all() and first[-1] == words
+    for word in ("one", "two", "three"):  # a text of one word is one window
+        docs = spark.createDataFrame([(word,)], "text string")
+        fresh = lm_score.fresh_network(lm_score.bucket_counts(docs), 3)
+        assert (lm_score.trained(docs, rounds=1).weights() != fresh.weights()).any()
+
+
 def test_pipeline_stages_act(spark, docs):
     left = docs
     for (name, stage), least in zip(corpus_pipeline.STAGES[:4], (150, 100, 90, 90)):
