@@ -3,7 +3,10 @@
 Slots 0, 1, 2, ... are placed at the fractional parts of i times the golden ratio; the cumulative
 weights of the sources cut the unit interval, and the point of a slot names its source. The rank of
 a slot among those of its source names a block of the source's shuffled stream of words. Points of
-this sequence fill every interval evenly, so every prefix of the schedule is near the weights.
+this sequence fill every interval evenly, so every prefix of the schedule is near the weights. An
+interval of few points is filled with an error of one or two of them: blocks are small enough that
+every source has LEAST_SLOTS slots, and a source too small for that gets its exact number of slots,
+one word each, at even distances.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from sessionloom.llm.storage import store
 WEIGHTS = (5, 2, 1)
 RING = 1 << 31  # points are integers below this
 STEP = 1327217885  # odd, next to RING divided by the golden ratio
-CELL_BITS = 19  # the interval of a source is looked up by the upper bits of a point
+CELLS = 12  # the interval of a source is looked up by this many upper bits of a point, or more
+LEAST_SLOTS = 300
 BUCKETS = 4096
 MOST_TIMES = 2
 
@@ -28,7 +32,7 @@ MOST_TIMES = 2
 @dataclass(frozen=True)
 class Mix:
     """sources: one row per source with size, target, blocks, slots; slots: the schedule (slot,
-    source_no, rank, block); docs: doc rows with their place in the stream of their source; taken:
+    source_no, rank, block), where slots of small sources share the number of another; docs: doc rows with their place in the stream of their source; taken:
     per doc row the words that the scheduled blocks take from it."""
 
     sources: DataFrame
@@ -94,27 +98,31 @@ def word_streams(docs: DataFrame, text: str, seed: int) -> DataFrame:
 
 
 def schedule(sources: DataFrame, seed_shift: int = 0) -> DataFrame:
-    """The slots (slot, source_no, rank, block) for sources with ``slots`` and ``blocks``."""
+    """The slots (slot, source_no, rank, block) for sources with ``slots`` and ``blocks``. Sources with
+    less than LEAST_SLOTS have them counted out, not drawn."""
     spark = sources.sparkSession
+    few = F.col("slots") < LEAST_SLOTS
+    total = sources.agg(F.ceil(F.sum("slots")).cast("long").alias("n")).first()["n"] or 0
+    # No more cells than intervals of LEAST_SLOTS have room for, so few intervals meet in a cell.
+    cell_bits = 31 - min(24, max(CELLS, (total // LEAST_SLOTS).bit_length()))
     everyone = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
     whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     cut = F.round(F.sum("slots").over(everyone) / F.sum("slots").over(whole) * RING).cast("long")
     spans = sources.withColumn("_to", cut).withColumn(
         "_from", F.coalesce(F.lag("_to").over(W.orderBy("source_no")), F.lit(0))
-    ).where(F.col("_from") < F.col("_to"))
+    ).where((F.col("_from") < F.col("_to")) & ~few)
     cells = spans.select(
         "source_no", "blocks", "_from", "_to",
         F.explode(
-            F.sequence(F.shiftright("_from", CELL_BITS), F.shiftright(F.col("_to") - 1, CELL_BITS))
+            F.sequence(F.shiftright("_from", cell_bits), F.shiftright(F.col("_to") - 1, cell_bits))
         ).alias("_cell"),
     )
-    total = sources.agg(F.ceil(F.sum("slots")).cast("long").alias("n")).first()["n"] or 0
     run = max(4096, total // 4096)
     point = F.pmod(((F.col("id") + seed_shift) % RING) * STEP, F.lit(RING))
     placed = (
         spark.range(total)
         .select(F.col("id").alias("slot"), point.alias("_point"))
-        .withColumn("_cell", F.shiftright("_point", CELL_BITS))
+        .withColumn("_cell", F.shiftright("_point", cell_bits))
         .join(cells, "_cell")
         .where((F.col("_point") >= F.col("_from")) & (F.col("_point") < F.col("_to")))
         .select("slot", "source_no", "blocks", F.expr(f"slot div {run}").alias("_run"))
@@ -128,9 +136,17 @@ def schedule(sources: DataFrame, seed_shift: int = 0) -> DataFrame:
         "source_no", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
     )
     rank = F.col("_base") + F.col("_place") - 1
+    drawn = in_run.join(base, ["source_no", "_run"]).select("slot", "source_no", "blocks", rank.alias("rank"))
+    phase = F.pmod(F.col("source_no").cast("long") * STEP, F.lit(RING)) / RING
+    counted = (
+        sources.where(few).withColumn("_n", F.round("slots").cast("long")).where("_n > 0")
+        .withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        .select(
+            F.floor((F.col("rank") + phase) / F.col("_n") * total).alias("slot"), "source_no", "blocks", "rank"
+        )
+    )
     return (
-        in_run.join(base, ["source_no", "_run"])
-        .withColumn("rank", rank)
+        drawn.union(counted)
         .where(F.col("rank") < MOST_TIMES * F.col("blocks"))
         .select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
     )
@@ -147,7 +163,8 @@ def mix(
     """Schedule of blocks that mixes the sources of ``docs`` to their targets.
 
     Blocks of a source differ by one word at most and have about ``block_words`` words; by default a
-    500,000th of the mix, at least 8 and at most 4096. No block is used more than twice. A null text
+    500,000th of the mix, at least 8 and at most 4096. They are smaller, down to one word, in a source
+    whose target would be less than LEAST_SLOTS of them. No block is used more than twice. A null text
     has no words; a null source is a source of its own; repeated rows count each.
     """
     rows = word_streams(docs, text, seed)
@@ -156,17 +173,22 @@ def mix(
     if block_words is None:
         total = targets.agg(F.sum("target").alias("t")).first()["t"] or 0
         block_words = int(min(4096, max(8, total // 500_000)))
-    blocks = F.greatest(F.lit(1), F.round(F.col("source_size") / block_words).cast("long"))
+    own_words = F.least(F.lit(float(block_words)), F.greatest(F.lit(1.0), F.col("target") / LEAST_SLOTS))
+    blocks = F.greatest(F.lit(1), F.round(F.col("source_size") / own_words).cast("long"))
     sources = targets.withColumn("blocks", blocks).withColumn(
         "slots",
         F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0)),
     )
+    slots = schedule(sources)
+    drawn = slots.groupBy("source_no").agg(F.count("*").alias("drawn"))
+    known = store(
+        sources.join(drawn, "source_no", "left")
+        .select("source", "source_no", "source_size", "target", "blocks", F.coalesce("drawn", F.lit(0)).alias("drawn")),
+        "drawn",
+    )
     named = rows.join(
-        F.broadcast(sources.select("source", "source_no", "source_size", "target", "blocks"))
-        if targets.count() <= 10_000
-        else sources.select("source", "source_no", "source_size", "target", "blocks"),
-        rows["source"].eqNullSafe(sources["source"]),
-    ).drop(sources["source"])
+        F.broadcast(known) if targets.count() <= 10_000 else known, rows["source"].eqNullSafe(known["source"])
+    ).drop(known["source"])
     before = W.partitionBy("source_no").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     base = (
         named.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_n"))
@@ -180,34 +202,19 @@ def mix(
         named.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(base, ["source_no", "_bucket"])
         .withColumn("start", F.col("_base") + F.col("_before"))
-        .select("doc_id", "source", "source_no", "size", "source_size", "target", "blocks", "start", "_key")
-    )
-    slots = schedule(sources)
-    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("_uses"))
-    # Block b of n covers the words from floor(b * size / n) on.
-    lowest = F.expr("(start * blocks) div source_size")
-    highest = F.expr("((start + size) * blocks - 1) div source_size")
-    from_word = F.expr("(block * source_size + blocks - 1) div blocks")
-    to_word = F.expr("((block + 1) * source_size + blocks - 1) div blocks")
-    overlap = F.least(to_word, F.col("start") + F.col("size")) - F.greatest(from_word, F.col("start"))
-    pieces = placed.withColumn(
-        "block",
-        F.explode(F.when(F.col("size") > 0, F.sequence(lowest, highest)).otherwise(F.array(F.lit(-1).cast("long")))),
     )
+    # Block b of n covers the words from ceil(b * size / n) on. Ranks name the blocks in turn, so all
+    # blocks are used equally often but for the first ones, which are used once more.
+    more_to = F.expr("((drawn % blocks) * source_size + blocks - 1) div blocks")
+    more = F.greatest(F.least(more_to, F.col("start") + F.col("size")) - F.col("start"), F.lit(0))
     columns = ["doc_id", "source", "source_no", "size", "source_size", "target", "start", "_key"]
-    taken = (
-        pieces.join(uses, ["source_no", "block"], "left")
-        .withColumn(
-            "_words",
-            F.when((F.col("size") > 0) & F.col("_uses").isNotNull(),
-                   F.greatest(overlap, F.lit(0)) * F.col("_uses")).otherwise(F.lit(0)),
-        )
-        .withColumn("_row", F.when(F.col("size") > 0, F.lit(0)).otherwise(F.monotonically_increasing_id()))
-        .groupBy(*columns, "_row")
-        .agg(F.sum("_words").cast("long").alias("taken"))
-        .drop("_row")
+    taken = placed.select(
+        *columns,
+        F.when(F.col("size") > 0, F.expr("drawn div blocks") * F.col("size") + more)
+        .otherwise(0).cast("long").alias("taken"),
     )
-    return Mix(sources, slots, placed, taken)
+    docs_in_place = placed.select(*columns[:6], "blocks", *columns[6:])
+    return Mix(sources, slots, docs_in_place, taken)
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, **options) -> DataFrame:

@@ -271,6 +271,24 @@ def test_every_window_is_trained_on(spark, odd):
         assert (lm_score.trained(docs, rounds=1).weights() != fresh.weights()).any()
 
 
+@pytest.mark.parametrize("block_words", [None, 4096])
+def test_tiny_sources_get_their_target(spark, block_words):
+    rows = [(k, " ".join(["w"] * (1 + k % 60)), f"tiny{k}") for k in range(200)]
+    rows += [(1000 + k, " ".join(["w"] * 500), "hot") for k in range(400)]
+    rows += [(2000, " ".join(["w"] * 900), "small")]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=block_words)
+    got = defaultdict(int)
+    for r in made.taken.collect():
+        assert r.taken <= 2 * r["size"]
+        got[r.source, r.target] += r.taken
+    assert len(got) == 202
+    assert all(abs(n - target) <= max(0.5, 0.02 * target) for (_, target), n in got.items())
+    slots = made.slots.collect()
+    assert len({(r.source_no, r.rank) for r in slots}) == len(slots)
+    ends = max(r.slot for r in slots)
+    assert sum(r.slot <= ends // 2 for r in slots) == pytest.approx(len(slots) / 2, rel=0.03)
+
+
 def test_pipeline_stages_act(spark, docs):
     left = docs
     for (name, stage), least in zip(corpus_pipeline.STAGES[:4], (150, 100, 90, 90)):
