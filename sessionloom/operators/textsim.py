@@ -17,8 +17,8 @@ HOT_ROWS = 20_000  # rows of one term handled by one join task
 SLACK = 1e-9
 
 
-def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = 1000) -> DataFrame:
-    """Weights ``(id, term, w)``: smooth idf, unit length, the most frequent terms only.
+def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
+    """Weights ``(id, term, w)``: smooth idf, unit length, all terms or the ``max_terms`` most frequent.
 
     Terms are words of two characters or more; ties in the cut go to the earlier term.
     """
@@ -30,7 +30,7 @@ def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = 1000) ->
     )
     terms = counts.groupBy("term").agg(F.sum("tf").alias("_total"), F.count("*").alias("df"))
     if max_terms is not None:
-        terms = F.broadcast(terms.orderBy(F.desc("_total"), "term").limit(max_terms))
+        terms = terms.orderBy(F.desc("_total"), "term").limit(max_terms)
     n = docs.agg(F.count("*")).scalar()
     idf = F.log((n + 1) / (F.col("df") + 1)) + 1
     weighted = counts.join(terms, "term").withColumn("w", F.col("tf") * idf)
@@ -172,7 +172,7 @@ def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
 
 
 def cluster_texts(
-    df: DataFrame, text: str, threshold: float, to: str, max_terms: int | None = 1000
+    df: DataFrame, text: str, threshold: float, to: str, max_terms: int | None = None
 ) -> DataFrame:
     """Cluster the distinct texts of a column and write each row's cluster.
 

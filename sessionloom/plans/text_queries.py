@@ -410,8 +410,10 @@ def date_parts_coerced(spark, folder):
 
 # --- similarity ------------------------------------------------------------------------------
 
+MAX_TERMS = 1000  # as in the code rebuilt here; the queries ending in _all keep every term
 
-def tfidf_sql(source: str, max_terms: int = 1000) -> str:
+
+def tfidf_sql(source: str, max_terms: int | str = 1000) -> str:
     """Common table expressions ending in ``weights(id, term, w)`` for ``source(id, text)``."""
     return f"""
 WITH docs AS ({source}),
@@ -452,7 +454,7 @@ def _distinct_docs(spark, folder):
     tfidf_sql(NAMES_SQL) + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
 )
 def tfidf_weights(spark, folder):
-    return rounded(textsim.tfidf(_names(spark, folder), "p_name", "p_name"))
+    return rounded(textsim.tfidf(_names(spark, folder), "p_name", "p_name", MAX_TERMS))
 
 
 @query(
@@ -460,6 +462,14 @@ def tfidf_weights(spark, folder):
     tfidf_sql(NUMBERED_DOCS_SQL) + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
 )
 def tfidf_documents(spark, folder):
+    return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text", MAX_TERMS))
+
+
+@query(
+    "tfidf_documents_all",
+    tfidf_sql(NUMBERED_DOCS_SQL, "ALL") + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
+)
+def tfidf_documents_all(spark, folder):
     return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text"))
 
 
@@ -472,7 +482,7 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.2""",
 )
 def cosine_pairs(spark, folder):
-    weights = textsim.tfidf(_names(spark, folder), "p_name", "p_name")
+    weights = textsim.tfidf(_names(spark, folder), "p_name", "p_name", MAX_TERMS)
     return rounded(textsim.cosine_pairs(weights, 0.2))
 
 
@@ -485,6 +495,19 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents(spark, folder):
+    weights = textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text", MAX_TERMS)
+    return rounded(textsim.cosine_pairs(weights, 0.9))
+
+
+@query(
+    "cosine_pairs_documents_all",
+    tfidf_sql(NUMBERED_DOCS_SQL, "ALL")
+    + """
+SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) + 3e-9, 6) AS sim
+FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
+GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
+)
+def cosine_pairs_documents_all(spark, folder):
     weights = textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text")
     return rounded(textsim.cosine_pairs(weights, 0.9))
 
@@ -492,7 +515,7 @@ def cosine_pairs_documents(spark, folder):
 @query("text_clusters")
 def text_clusters(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_name")
-    return textsim.cluster_texts(parts, "p_name", 0.80, "name_cluster")
+    return textsim.cluster_texts(parts, "p_name", 0.80, "name_cluster", MAX_TERMS)
 
 
 DIMENSIONS = 64
