@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.cluster import tune
 from sessionloom.llm import (
+    centroids,
     fingerprints,
     langid,
     licenses,
@@ -20,6 +21,7 @@ from sessionloom.llm import (
     near_dedup,
     packing,
     quality,
+    shards,
     token_counts,
     token_files,
 )
@@ -80,6 +82,15 @@ def op10_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.section_token_counts(documents(spark, folder), BYTE_TOKENIZER)
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.document_slots(documents(spark, folder))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = tune(spark).read.parquet(f"{folder}/embeddings.parquet")
+    return centroids.clusters_with_inertia(centroids.cluster_vectors(vectors))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     top = str(Path(__file__).resolve().parents[2])
     if top not in sys.path:
@@ -93,7 +104,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_packing, op3_fingerprints, op4_lm_scores, op5_mixing, op6_language,
-        op7_quality, op8_licenses, op9_token_files, op10_section_tokens, pipeline,
+        op7_quality, op8_licenses, op9_token_files, op10_section_tokens, op12_sharding, op13_centroids, pipeline,
     )
 }
 
@@ -176,4 +187,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-CHECKS = {"op1_near_duplicates": NEAR_SQL, "op5_mixing": MIX_SQL, "op7_quality": QUALITY_SQL}
+
+
+def centroid_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """Every round as a common table expression; rows are numbered, as ids can repeat."""
+
+    def nearest(centres: str) -> str:
+        return f"""SELECT x.r, any_value(x.vec_id) AS vec_id, any_value(x.x) AS x,
+    min(struct_pack(d := list_sum(list_transform(list_zip(x.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT,
+      c := c.no)) AS best FROM x, {centres} c GROUP BY x.r"""
+
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""
+a{i} AS MATERIALIZED ({nearest(f"c{i}")}),
+s{i} AS (SELECT best.c AS no, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY ALL),
+m{i} AS (SELECT no, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{i} GROUP BY no),
+c{i + 1} AS MATERIALIZED (SELECT no, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (no))""")
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS no, x FROM (
+  SELECT sha256('{centroids.SEED}:' || vec_id) AS h, x FROM x ORDER BY h NULLS LAST, x LIMIT {k})),{",".join(steps)},
+f AS ({nearest(f"c{rounds}")}),
+g AS (SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance FROM f)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM g JOIN c{rounds} c ON c.no = cluster
+"""
+
+
+CHECKS = {
+    "op1_near_duplicates": NEAR_SQL,
+    "op5_mixing": MIX_SQL,
+    "op7_quality": QUALITY_SQL,
+    "op13_centroids": centroid_sql(),
+}
