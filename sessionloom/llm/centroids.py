@@ -27,13 +27,13 @@ class Clustering:
     centroids: list[list[int]]
 
 
-def whole_vectors(vectors: DataFrame, key: str, vector: str, size: int, scale: int) -> DataFrame:
-    """``vec_id, x``: vectors with exactly ``size`` components, none null, NaN or infinite, as
-    integers floor(scale * component)."""
+def whole_vectors(vectors: DataFrame, key: str, vector: str, size: int | None, scale: int) -> DataFrame:
+    """``vec_id, x``: vectors with exactly ``size`` components (None: any number), none null, NaN or
+    infinite, as integers floor(scale * component)."""
     v = F.col(vector).cast("array<double>")
-    usable = (F.size(v) == size) & F.forall(
-        v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    )
+    usable = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    if size is not None:
+        usable = (F.size(v) == size) & usable
     x = F.transform(v, lambda c: F.floor(c * F.lit(float(scale))))
     kept = vectors.where(F.col(vector).isNotNull() & F.coalesce(usable, F.lit(False)))
     return kept.select(F.col(key).alias("vec_id"), x.alias("x"))

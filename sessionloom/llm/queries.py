@@ -24,6 +24,7 @@ from sessionloom.llm import (
     shards,
     token_counts,
     token_files,
+    whitening,
 )
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +83,10 @@ def op10_section_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.section_token_counts(documents(spark, folder), BYTE_TOKENIZER)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(tune(spark).read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.document_slots(documents(spark, folder))
 
@@ -104,7 +109,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_packing, op3_fingerprints, op4_lm_scores, op5_mixing, op6_language,
-        op7_quality, op8_licenses, op9_token_files, op10_section_tokens, op12_sharding, op13_centroids, pipeline,
+        op7_quality, op8_licenses, op9_token_files, op10_section_tokens, op11_whitening, op12_sharding, op13_centroids,
+        pipeline,
     )
 }
 
