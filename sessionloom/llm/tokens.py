@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from sessionloom.llm.arrays import pieces, solid, span_list
 
-KEEP = 600_000  # distinct parts held by a worker; the store is emptied beyond, ids do not change
+KEEP = 1_200_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
 
 # Bytes before which a cut is safe: not white space, not the controls 0x1C-0x1F, and not the first
 # byte of a wide white space (U+0085, U+00A0, U+1680, U+2000-U+205F, U+3000).
@@ -24,15 +24,28 @@ AFTER_CUT[[*range(9, 14), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 AFTER_CUT[0x80:0xC0] = False
 
 
-def part_cuts(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_cuts(
+    data: np.ndarray, edges: np.ndarray, special: tuple[bytes, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
     """(cuts, first): byte offsets of all parts (one more than parts), and the number of the first
-    part of each text (one more than texts)."""
+    part of each text (one more than texts).
+
+    A tokenizer takes its ``special`` strings out first, so white space before one ends a piece of
+    text and is not cut from what stands before it.
+    """
     marks = np.zeros(len(data) + 1, bool)
     marks[edges] = True
     if len(data):
         gap = np.flatnonzero(~solid(data))
         gap = gap[~marks[gap + 1]]  # at the end of a text nothing follows
         marks[gap[AFTER_CUT[data[gap + 1]]]] = True
+        body = data.tobytes() if special else b""
+        for name in special:
+            at = body.find(name)
+            while at >= 0:
+                marks[max(at - 1, 0)] = False
+                at = body.find(name, at + len(name))
+        marks[edges] = True
     cuts = np.flatnonzero(marks)
     return cuts, np.searchsorted(cuts, edges)
 
@@ -43,7 +56,8 @@ class TextEncoder:
     def __init__(self, path: str, spans: bool = False, keep: int = KEEP) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = tuple(sorted(token.content.encode() for token in added))
         self.spans, self.keep = spans, keep
         self.empty()
 
@@ -53,44 +67,84 @@ class TextEncoder:
         self.many = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.where = np.zeros((1 << 18 if self.spans else 0, 2), np.int32)
+        self.seen = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
+    def shrink(self) -> None:
+        """Keep the half of the store that was seen most."""
+        words, count = list(self.known), len(self.known)
+        best = np.sort(np.argsort(-self.seen[:count], kind="stable")[: self.keep // 2])
+        size = self.many[best]
+        place = span_list(self.at[best], size.astype(np.int64))
+        self.known = {words[i]: k for k, i in enumerate(best.tolist())}
+        self.seen[: len(best)] = self.seen[best]
+        self.at[: len(best)] = np.cumsum(size) - size
+        self.many[: len(best)] = size
+        self.used = len(place)
+        self.ids[: self.used] = self.ids[place]
+        if self.spans:
+            self.where[: self.used] = self.where[place]
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
+        """(ids, number of ids of each word, character spans).
+
+        Without spans, words go in as one text with an added token between them, which the tokenizer
+        takes out first, and its id marks their ends; a word that holds it is encoded like the others
+        one by one.
+        """
+        if not self.spans and self.special:
+            mark = self.special[0]
+            text = mark.join(words).decode("utf-8", "replace")
+            found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.uint32)
+            ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark.decode()))
+            if len(ends) == len(words) - 1:
+                size = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+                return np.delete(ids, ends), size, []
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        for low in range(0, len(words), 20_000):
-            some = words[low : low + 20_000]
-            found = encode([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            flat = [i for e in found for i in e.ids]
-            count, size = len(self.known), np.array([len(e) for e in found], np.int32)
+        found = encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], np.uint32)
+        spans = [s for e in found for s in e.offsets] if self.spans else []
+        return ids, np.array([len(e) for e in found], np.int64), spans
+
+    def learn(self, words: list[bytes]) -> None:
+        for low in range(0, len(words), 2000):
+            some = words[low : low + 2000]
+            flat, size, spans = self.ids_of(some)
+            count = len(self.known)
             while count + len(some) > len(self.at):
-                self.at, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.many))
+                old = (self.at, self.many, self.seen)
+                self.at, self.many, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in old)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 self.where = np.concatenate([self.where, np.zeros_like(self.where)])
             self.at[count : count + len(some)] = self.used + np.cumsum(size) - size
             self.many[count : count + len(some)] = size
+            self.seen[count : count + len(some)] = 0
             self.ids[self.used : self.used + len(flat)] = flat
-            if self.spans and flat:
-                self.where[self.used : self.used + len(flat)] = [s for e in found for s in e.offsets]
+            if spans:
+                self.where[self.used : self.used + len(flat)] = spans
             self.used += len(flat)
             self.known.update(zip(some, range(count, count + len(some))))
 
     def encode(self, data: np.ndarray, edges: np.ndarray):
         """(ids, first) of a block; with ``spans`` also (starts, ends), characters in each text."""
-        cuts, parts = part_cuts(data, edges)
+        cuts, parts = part_cuts(data, edges, self.special)
         if len(cuts) < 2:
             none = np.zeros(0, np.int64)
             found = (np.zeros(0, np.uint32), np.zeros(len(edges), np.int64))
             return (*found, none, none) if self.spans else found
         coded = pieces(data, cuts).dictionary_encode()
         codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > self.keep:
-            self.empty()
-        get = self.known.get
-        new = [w for w in words if get(w) is None]
+        new = [w for w in words if w not in self.known]
+        if new and len(self.known) + len(new) > self.keep and len(self.known) > self.keep // 2:
+            self.shrink()
+            new = [w for w in words if w not in self.known]
         if new:
             self.learn(new)
-        slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.seen[place] += np.bincount(codes, minlength=len(words))
+        slots = place[codes]
         sizes = self.many[slots].astype(np.int64)
         place = span_list(self.at[slots], sizes)
         total = np.concatenate([[0], np.cumsum(sizes)])

@@ -14,6 +14,7 @@ import corpus_pipeline
 from sessionloom.llm import (
     arrays,
     fingerprints, langid, licenses, lm_score, mixing, near_dedup, packing, quality, queries, token_counts, token_files,
+    tokens,
 )
 from tests.checker import compare, connect
 
@@ -90,6 +91,28 @@ def test_queries_equal_sql(spark, name):
     assert compare(spark, connect(FOLDER), name, queries.QUERIES[name], queries.CHECKS[name], FOLDER) == []
 
 
+@pytest.mark.parametrize("spans", [False, True])
+@pytest.mark.parametrize("name", [queries.BYTE_TOKENIZER, queries.WORD_TOKENIZER])
+def test_ids_of_texts_with_added_tokens_equal_the_plain_library(name, spans):
+    """Whole texts through the library as it is; the store overflows on the way."""
+    import random
+
+    import pyarrow as pa
+
+    draw, plain = random.Random(3), Tokenizer.from_file(name)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "<|end", "|>", "\u00a0", "\u3000", "é", "1", "'s"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(3000)]
+    coder = tokens.TextEncoder(name, spans, keep=300)
+    for low in range(0, len(texts), 300):
+        for first, end, data, edges in arrays.blocks(pa.array(texts[low : low + 300])):
+            found = coder.encode(data, edges)
+            for i, text in enumerate(texts[low + first : low + end]):
+                own, want = slice(found[1][i], found[1][i + 1]), plain.encode(text, add_special_tokens=False)
+                assert found[0][own].tolist() == want.ids, text
+                if spans:
+                    assert list(zip(found[2][own].tolist(), found[3][own].tolist())) == [tuple(o) for o in want.offsets]
+
+
 def encoded(name, text):
     return np.array(Tokenizer.from_file(name).encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
