@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.cluster import cut_lineage
 from sessionloom.functions.ratios import key_hash
 from sessionloom.operators.encode import feature_vector, standardize
+from sessionloom.operators.positions import number_in_order
 from sessionloom.operators.score import leaderboard, metrics
 
 
@@ -203,6 +207,75 @@ def importances(model, features: list[str], spark) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature")
 
 
+def permutation_importance(
+    held_out: DataFrame, key: str, features: list[str], label: str,
+    predict: Callable[[DataFrame], DataFrame], seed: int = 42,
+) -> DataFrame:
+    """``feature, rmse, rise``: the error when a feature's values are dealt to other rows, and how far
+    that is above the error on the rows as they are.
+
+    Rows get a position in the order of a seeded hash of their key. A feature's values move along
+    that order by a step of its own (a seeded hash of its name, at least 1), so every value is used
+    once and none stays. All moved values meet their rows in one aggregation, and all versions of all
+    rows are scored in one pass by ``predict``, which adds ``prediction``. With one row nothing can
+    move and every rise is 0.
+    """
+    hashed = held_out.select(
+        F.struct(key_hash(key, seed).alias("hash"), F.col(key).alias("key")).alias("_order"),
+        F.col(label).cast("double").alias("_label"),
+        *[F.col(c).cast("double").alias(c) for c in features],
+    )
+    placed = cut_lineage(number_in_order(hashed, "_order", "_at"))
+    n = placed.count()
+    steps = [F.when(F.lit(n > 1), 1 + F.pmod(key_hash(F.lit(c), seed), F.lit(max(n - 1, 1)))).otherwise(0)
+             for c in features]
+    moves = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.pmod(F.col("_at") - step, F.lit(max(n, 1))).alias("to"), F.col(c).alias("value"))
+            for i, (c, step) in enumerate(zip(features, steps))
+        ]
+    )
+    moved = placed.select(F.inline(moves)).groupBy(F.col("to").alias("_at")).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"_new{i}") for i in range(len(features))]
+    )
+    versions = placed.join(moved, "_at").withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    versions = versions.select(
+        "_i", "_label",
+        *[F.when(F.col("_i") == i, F.col(f"_new{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(features)],
+    )
+    error = F.col("_label") - F.col("prediction")
+    scores = predict(versions).groupBy("_i").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    plain = F.max(F.when(F.col("_i") == -1, F.col("rmse"))).over(W.partitionBy(F.lit(0)))  # one row a feature
+    names = F.array(*[F.lit(c) for c in features])
+    return (
+        scores.withColumn("rise", F.col("rmse") - plain)
+        .where("_i >= 0")
+        .select(F.element_at(names, F.col("_i") + 1).alias("feature"), "rmse", "rise")
+    )
+
+
+def out_of_fold(
+    train: DataFrame, specs: dict[str, Estimator], folds: int, keep: list[str], parallelism: int = 4
+) -> DataFrame:
+    """One column of predictions per model beside ``keep``; each row is predicted by fits that have
+    not seen its fold."""
+    jobs = [(fold, name) for fold in range(folds) for name in specs]
+    fitted = dict(
+        zip(
+            jobs,
+            fit_side_by_side(
+                train.sparkSession, lambda job: specs[job[1]].fit(train.where(F.col("fold") != job[0])),
+                jobs, parallelism,
+            ),
+        )
+    )
+    parts = []
+    for fold in range(folds):
+        wide, columns = predict_wide([fitted[fold, name] for name in specs], train.where(F.col("fold") == fold))
+        parts.append(wide.select(*keep, *[F.col(c).alias(name) for c, name in zip(columns, specs)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def kmeans_segments(
     df: DataFrame, key: str, features: list[str], k: int = 8, seeds: int = 10, seed: int = 42
 ) -> DataFrame:

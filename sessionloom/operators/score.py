@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,43 @@ def inverse_error_weights(scores: DataFrame) -> DataFrame:
     return scores.select("model", (1 / F.col("rmse") / total).alias("weight"))
 
 
+def error_products(predictions: DataFrame, names: list[str], label: str) -> list[list[float]]:
+    """Mean products of the errors of each two models (a column each), from one aggregation."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    errors = predictions.select(*[(F.col(label) - F.col(n)).alias(f"e{i}") for i, n in enumerate(names)])
+    row = errors.agg(F.array(*[F.avg(F.col(f"e{i}") * F.col(f"e{j}")) for i, j in pairs]).alias("m")).first()
+    out = [[0.0] * len(names) for _ in names]
+    for (i, j), value in zip(pairs, row["m"]):
+        out[i][j] = out[j][i] = math.nan if value is None else value
+    return out
+
+
+def select_ensemble(products: list[list[float]], steps: int) -> tuple[list[int], list[float]]:
+    """Greedy selection with replacement: (times each model was taken, RMSE after each step).
+
+    Every step adds the model that makes the mean of all models taken so far best; of equally good
+    ones the first. The error of any such mean follows from the products, so no row is read.
+    """
+    models = range(len(products))
+    taken, errors = [0] * len(products), []
+    for step in range(1, steps + 1):
+        def error(k):
+            count = [taken[i] + (i == k) for i in models]
+            return sum(count[i] * count[j] * products[i][j] for i in models for j in models) / step**2
+
+        best = min(models, key=lambda k: (round(error(k), 9), k))
+        errors.append(math.sqrt(max(error(best), 0.0)))
+        taken[best] += 1
+    return taken, errors
+
+
+def selection_weights(predictions: DataFrame, names: list[str], label: str, steps: int) -> DataFrame:
+    """``model, taken, weight`` of the models of a wide prediction table; see ``select_ensemble``."""
+    taken, _ = select_ensemble(error_products(predictions, names, label), steps)
+    rows = [(name, count, count / steps) for name, count in zip(names, taken)]
+    return predictions.sparkSession.createDataFrame(rows, "model string, taken int, weight double")
+
+
 def row_mean(df: DataFrame, columns: list[str]):
     """Mean of several columns in a row, missing ones left out."""
     present = [F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in columns]

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.cluster import fresh_path
+from sessionloom.cluster import cut_lineage, fresh_path
 from sessionloom.functions.fixed_values import BAGGING_SEEDS
-from sessionloom.operators import models, profile, score
+from sessionloom.operators import leastsq, models, profile, score
+from sessionloom.operators.encode import feature_vector
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.sessions import basic_features, mean_per_key
-from sessionloom.plans.common import TIE_SHIFT, key_hash_sql, rounded, test_part, train_part
+from sessionloom.plans.common import (
+    TIE_SHIFT, key_hash_sql, least_squares_sql, rounded, sql_rounded, test_part, train_part,
+)
 from sessionloom.plans.registry import query
-from sessionloom.plans.session_queries import KEY, RICH_COUNTS, rich
+from sessionloom.plans.session_queries import KEY, RICH_COUNTS, RICH_SQL, rich
 from sessionloom.sources import files
 from sessionloom.sources.fixtures import EVENTS_SQL, session_events, staged_events, table
 
@@ -511,17 +514,20 @@ def _basic(spark, folder):
     return train, scoring
 
 
-def _rich(spark, folder):
+def _rich_rows(spark, folder):
+    """(labelled sessions without outliers, sessions to predict), from one written table."""
     sessions = rich(staged_events(spark, folder))
     sessions = files.stage(sessions, fresh_path(spark, "sessions"))
     labelled = profile.iqr_filter(
         sessions.where(F.col("session_value").isNotNull()), "session_value"
     )
+    return labelled, sessions.where(F.col("session_value").isNull())
+
+
+def _rich(spark, folder):
+    labelled, unlabelled = _rich_rows(spark, folder)
     train = models.training_table(labelled, KEY, FEATURES, "session_value")
-    scoring = models.score_table(
-        sessions.where(F.col("session_value").isNull()), KEY, FEATURES
-    )
-    return train, scoring
+    return train, models.score_table(unlabelled, KEY, FEATURES)
 
 
 def _submission(predicted):
@@ -549,11 +555,60 @@ def linear_fit_one_feature(spark, folder):
     return rounded(predicted.select(KEY, F.col("prediction").alias("session_value")))
 
 
-@query("lr_scores")
+BASIC_SQL = """
+, base AS (SELECT user_session, count(DISTINCT event_type) AS unique_event_types,
+  count(DISTINCT product_id) AS unique_products, count(DISTINCT category_id) AS unique_categories,
+  count(event_time) AS event_count, max(session_value) AS session_value FROM ev GROUP BY user_session)"""
+IN_TRAINING_SQL = f"{key_hash_sql('user_session', 42)} % 100 >= 20"
+CLEAN_RICH_SQL = (
+    RICH_SQL
+    + """,
+q AS (SELECT quantile_cont(session_value, 0.25) AS q1, quantile_cont(session_value, 0.75) AS q3 FROM rich),
+clean AS (SELECT rich.* FROM rich, q
+  WHERE session_value IS NULL OR session_value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
+)
+
+
+def _features_sql(features):
+    return ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in features)
+
+
+def _fitted_sql(source, features, fit):
+    """Predictions of sessions without a label, from those with one for which ``fit`` holds."""
+    return (
+        f""",
+ls0 AS (SELECT 0 AS g, user_session AS id, session_value IS NOT NULL AND {fit} AS fit,
+  {_features_sql(features)}, session_value AS y FROM {source}),
+"""
+        + least_squares_sql(features)
+        + f"""
+SELECT id AS user_session, {sql_rounded(["session_value"])}
+FROM (SELECT id, greatest(prediction, 0) AS session_value FROM fitted WHERE y IS NULL)"""
+    )
+
+
+def _linear_submission(labelled, unlabelled, features):
+    """Least squares on the labelled sessions outside the hold-out, applied to the others."""
+    kept = models.hash_split(labelled, KEY).where(~F.col("is_validation"))
+    fit = leastsq.fit_linear(kept, features, "session_value")
+    predicted = unlabelled.select(KEY, fit.prediction().alias("prediction"))
+    return rounded(_submission(predicted))
+
+
+@query("lr_scores", EVENTS_SQL + BASIC_SQL + _fitted_sql("base", BASIC, IN_TRAINING_SQL))
 def lr_scores(spark, folder):
-    train, scoring = _basic(spark, folder)
-    fitted = models.fit_models(train, {"linear": models.linear()})
-    return _submission(fitted["linear"].transform(scoring))
+    sessions = basic_features(session_events(spark, folder))
+    sessions = files.stage(sessions, fresh_path(spark, "sessions"))
+    label = F.col("session_value")
+    return _linear_submission(sessions.where(label.isNotNull()), sessions.where(label.isNull()), BASIC)
+
+
+@query(
+    "lr_scores_full",
+    EVENTS_SQL + CLEAN_RICH_SQL + _fitted_sql("clean", FEATURES, IN_TRAINING_SQL),
+)
+def lr_scores_full(spark, folder):
+    return _linear_submission(*_rich_rows(spark, folder), FEATURES)
 
 
 @query("rf_scores")
@@ -570,10 +625,45 @@ def gbt_scores(spark, folder):
     return _submission(fitted["boosted"].transform(scoring))
 
 
-@query("cv_scores")
+FOLDS = 5
+FOLD_SQL = (
+    EVENTS_SQL
+    + CLEAN_RICH_SQL
+    + f""",
+ls0 AS (SELECT g, user_session AS id, {key_hash_sql("user_session", 43)} % {FOLDS} <> g AS fit,
+  {_features_sql(FEATURES)}, session_value AS y
+  FROM clean, range(0, {FOLDS}) f(g) WHERE session_value IS NOT NULL),
+"""
+    + least_squares_sql(FEATURES)
+    + f""",
+folds AS (SELECT CAST(g AS INTEGER) AS fold, sqrt(avg((y - prediction) ** 2)) AS rmse FROM fitted
+  WHERE {key_hash_sql("id", 43)} % {FOLDS} = g GROUP BY g)
+"""
+)
+
+
+def _fold_scores(spark, folder):
+    labelled, _ = _rich_rows(spark, folder)
+    dealt = labelled.withColumn("fold", models.split_bucket(KEY, 43, FOLDS))
+    return leastsq.linear_fold_scores(dealt, FEATURES, "session_value", "fold")
+
+
+@query("cv_fold_scores", FOLD_SQL + f"SELECT fold, {sql_rounded(['rmse'])} FROM folds")
+def cv_fold_scores(spark, folder):
+    return rounded(_fold_scores(spark, folder))
+
+
+@query(
+    "cv_scores",
+    FOLD_SQL
+    + "SELECT round(avg(rmse) + 3e-9, 6) AS rmse_mean, round(stddev_pop(rmse) + 3e-9, 6) AS rmse_std FROM folds",
+)
 def cv_scores(spark, folder):
-    train, _ = _basic(spark, folder)
-    return models.cross_validate(train, models.linear(), 3)
+    return rounded(
+        _fold_scores(spark, folder).agg(
+            F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std")
+        )
+    )
 
 
 @query(
@@ -615,15 +705,61 @@ SPECS = {
 }
 
 
+SELECTION_STEPS = 10
+
+
+def _selection_sql(models, steps=SELECTION_STEPS):
+    """Every step of the selection as a common table expression over the mean error products."""
+    pairs = [(a, b) for a in models for b in models]
+    products = ", ".join(
+        f"avg((session_value - {a}) * (session_value - {b})) AS {a}_{b}" for a, b in pairs
+    )
+    formulas = ", ".join(f"CAST({f} AS DOUBLE) AS {n}" for n, f in FORMULAS.items())
+    ctes = [
+        f"wide AS (SELECT session_value, {formulas} FROM base WHERE split = 'train')",
+        f"products AS (SELECT {products} FROM wide)",
+        "t0 AS (SELECT " + ", ".join(f"0 AS {m}" for m in models) + ")",
+    ]
+    for step in range(1, steps + 1):
+        tries = []
+        for i, name in enumerate(models):
+            count = {m: f"(t.{m} + {int(m == name)})" for m in models}
+            error = " + ".join(f"{count[a]} * {count[b]} * {a}_{b}" for a, b in pairs)
+            tries.append(
+                f"SELECT {i} AS k, round(({error}) / {step * step}.0, 9) AS e, "
+                + ", ".join(f"{count[m]} AS {m}" for m in models)
+                + f" FROM t{step - 1} t, products"
+            )
+        ctes.append(f"t{step} AS (SELECT {', '.join(models)} FROM ({' UNION ALL '.join(tries)}) ORDER BY e, k LIMIT 1)")
+    out = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, CAST({m} AS INTEGER) AS taken, CAST({m} AS DOUBLE) / {steps} AS weight FROM t{steps}"
+        for m in models
+    )
+    return ", " + ", ".join(ctes) + " " + out
+
+
+@query("ensemble_selection", EVENTS_SQL + LONG_SQL + _selection_sql(list(FORMULAS)))
+def ensemble_selection(spark, folder):
+    base = basic_features(train_part(session_events(spark, folder)))
+    wide = base.select("session_value", *[F.expr(f).cast("double").alias(n) for n, f in FORMULAS.items()])
+    return score.selection_weights(wide, list(FORMULAS), "session_value", SELECTION_STEPS)
+
+
 @query("automl_leaderboard")
 def automl_leaderboard(spark, folder):
-    train, _ = _rich(spark, folder)
-    fitted = models.fit_models(train, {name: make() for name, make in SPECS.items()})
-    predicted = models.predict_long(fitted, train.where("is_validation"), [KEY, "label"])
+    """Weights of the ensemble come from out-of-fold predictions of the training rows; the hold-out is
+    only scored."""
+    labelled, _ = _rich_rows(spark, folder)
+    table = models.training_table(labelled, KEY, FEATURES, "session_value", folds=FOLDS)
+    train, held_out = table.where(~F.col("is_validation")), table.where("is_validation")
+    specs = {name: make() for name, make in SPECS.items()}
+    unseen = models.out_of_fold(train, specs, FOLDS, ["label"])
+    weights = score.selection_weights(unseen, list(specs), "label", SELECTION_STEPS)
+    fitted = models.fit_models(table, specs)
+    predicted = models.predict_long(fitted, held_out, [KEY, "label"])
     single = score.metrics(predicted, "label", "prediction", ["model"])
-    weights = score.inverse_error_weights(single)
-    blended = score.blend(predicted, weights, KEY, "prediction")
-    blended = attach(blended, train.select(KEY, "label"), KEY).withColumn("model", F.lit("weighted ensemble"))
+    blended = score.blend(predicted.select(KEY, "model", "prediction"), weights, KEY, "prediction")
+    blended = attach(blended, held_out.select(KEY, "label"), KEY).withColumn("model", F.lit("weighted ensemble"))
     together = score.metrics(blended, "label", "prediction", ["model"])
     return score.leaderboard(single.unionByName(together))
 
@@ -635,6 +771,58 @@ def feature_importance(spark, folder):
     return models.importances(fitted["forest"], FEATURES, spark)
 
 
+PERMUTED_SQL = (
+    EVENTS_SQL
+    + CLEAN_RICH_SQL
+    + f""",
+held AS (SELECT user_session, {_features_sql(FEATURES)}, session_value,
+    row_number() OVER (ORDER BY {key_hash_sql("user_session", 42)}, user_session) - 1 AS at, count(*) OVER () AS n
+  FROM clean WHERE session_value IS NOT NULL AND NOT ({IN_TRAINING_SQL})),
+ls0 AS (
+  SELECT 0 AS g, 'fit' AS id, true AS fit, {_features_sql(FEATURES)}, session_value AS y FROM clean
+  WHERE session_value IS NOT NULL AND {IN_TRAINING_SQL}
+  UNION ALL SELECT 0, 'plain', false, {", ".join(FEATURES)}, session_value FROM held
+  """
+    + "\n  ".join(
+        f"UNION ALL SELECT 0, '{c}', false, {', '.join(('b.' if f == c else 'a.') + f for f in FEATURES)}, a.session_value"
+        f" FROM held a JOIN held b ON b.at = (a.at + 1 + {key_hash_sql(f"'{c}'", 42)} % (a.n - 1)) % a.n"
+        for c in FEATURES
+    )
+    + "),\n"
+    + least_squares_sql(FEATURES)
+    + """,
+errors AS (SELECT id, sqrt(avg((y - prediction) ** 2)) AS rmse FROM fitted WHERE id <> 'fit' GROUP BY id)
+SELECT id AS feature, round(rmse + 3e-9, 6) AS rmse,
+  round(rmse - (SELECT rmse FROM errors WHERE id = 'plain') + 3e-9, 6) AS rise
+FROM errors WHERE id <> 'plain'"""
+)
+
+
+@query("permutation_importance_linear", PERMUTED_SQL)
+def permutation_importance_linear(spark, folder):
+    labelled, _ = _rich_rows(spark, folder)
+    split = models.hash_split(labelled.na.fill(0, FEATURES), KEY)
+    fit = leastsq.fit_linear(split.where(~F.col("is_validation")), FEATURES, "session_value")
+    return rounded(
+        models.permutation_importance(
+            split.where("is_validation"), KEY, FEATURES, "session_value",
+            lambda rows: rows.withColumn("prediction", fit.prediction()),
+        )
+    )
+
+
+@query("permutation_importance")
+def permutation_importance(spark, folder):
+    labelled, _ = _rich_rows(spark, folder)
+    split = models.hash_split(labelled.na.fill(0, FEATURES), KEY)
+    train = feature_vector(split.where(~F.col("is_validation")), FEATURES)
+    fitted = models.forest(labelCol="session_value").fit(cut_lineage(train.select("features", "session_value")))
+    return models.permutation_importance(
+        split.where("is_validation"), KEY, FEATURES, "session_value",
+        lambda rows: fitted.transform(feature_vector(rows, FEATURES)),
+    ).orderBy(F.desc("rise"), "feature")
+
+
 @query("kmeans_segments")
 def kmeans_segments(spark, folder):
     sessions = rich(staged_events(spark, folder))
