@@ -10,102 +10,182 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.cluster import cut_lineage
+from sessionloom.cluster import fresh_path
+from sessionloom.sources.files import stage
 
 WORD = r"(?U)\b\w\w+\b"
-HOT_ROWS = 20_000  # rows of one term handled by one join task
+HOT_ROWS = 2_000  # rows of one term on each side of a join cell
+SMALL_IDS = 1_000_000  # ids that are broadcast to pick vectors; beyond, they are joined by shuffle
 SLACK = 1e-9
 
 
-def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
-    """Weights ``(id, term, w)``: smooth idf, unit length, all terms or the ``max_terms`` most frequent.
+def term_counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """``id, terms``: the distinct words of two characters or more of each text with their counts.
 
-    Terms are words of two characters or more; ties in the cut go to the earlier term.
+    Counted inside the row, from the sorted words and the places where a new one starts.
     """
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    counts = (
-        docs.select(F.col(id_).alias("id"), F.explode(found).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"))
+    words = F.sort_array(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
+    sorted_ = docs.select(F.col(id_).alias("id"), words.alias("s")).where(F.size("s") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("s") - 1),
+        lambda i: (i == 0) | (F.col("s")[i] != F.col("s")[F.greatest(i - 1, F.lit(0))]),
+    )
+    # The generator keeps the sorted words a column of their own, computed once.
+    placed = sorted_.select("id", F.inline(F.array(F.struct("s", starts.alias("at")))))
+    after = lambda k: F.coalesce(F.get(F.col("at"), k + 1), F.size("s"))
+    terms = F.transform(
+        "at", lambda i, k: F.struct(F.col("s")[i].alias("term"), (after(k) - i).cast("long").alias("tf"))
     )
+    return placed.select("id", terms.alias("terms"))
+
+
+def tfidf_vectors(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
+    """``id, entries``: one sparse vector of unit length per text, entries (df, term, w) from the rarest
+    term to the most common; smooth idf, all terms or the ``max_terms`` most frequent.
+
+    Ties in the cut go to the earlier term. Texts without a counted term have no row. Postings are
+    shuffled by term, to meet their frequency, and by id.
+    """
+    spark = docs.sparkSession
+    counted = stage(term_counts(docs, id_, text), fresh_path(spark, "terms"))
+    counts = counted.select("id", F.inline("terms"))
     terms = counts.groupBy("term").agg(F.sum("tf").alias("_total"), F.count("*").alias("df"))
     if max_terms is not None:
         terms = terms.orderBy(F.desc("_total"), "term").limit(max_terms)
     n = docs.agg(F.count("*")).scalar()
     idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    weighted = counts.join(terms, "term").withColumn("w", F.col("tf") * idf)
-    # Partial sums instead of a window: a long text is spread like any other group.
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("_norm")).alias("w"))
+    entry = F.struct("df", "term", (F.col("tf") * idf).alias("w"))
+    raw = counts.join(terms, "term").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
+    sized = raw.select("id", F.inline(F.array(F.struct("entries", length.alias("length")))))
+    return sized.select(
+        "id",
+        F.transform(
+            "entries", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("length")).alias("w"))
+        ).alias("entries"),
+    )
 
 
-def similar_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
-    """All pairs ``(a, b, sim)``, a < b, of vectors no longer than 1 whose dot product reaches
-    ``min_sim`` > 0. Exact.
+def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
+    """``id, term, w``: the vectors of ``tfidf_vectors`` in long form."""
+    return tfidf_vectors(docs, id_, text, max_terms).select("id", F.inline("entries")).select("id", "term", "w")
+
 
-    Terms are ordered from rare to common. The common end of a vector that is shorter than
-    ``min_sim`` cannot carry a pair alone, so a pair must meet in a term before it: hot terms
-    mostly drop out of the join. Where vectors meet, what is left of both from that term on must
-    still be long enough. Terms that stay hot are split into blocks.
+def as_vectors(weights: DataFrame) -> DataFrame:
+    """Vectors from long weights ``(id, term, w)``, entries from the rarest term to the most common;
+    vectors stay as they are."""
+    if "entries" in weights.columns:
+        return weights
+    spread = weights.groupBy("term").agg(F.count("*").alias("df"))
+    entry = F.struct("df", "term", "w")
+    return weights.join(spread, "term").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
+def candidate_pairs(vectors: DataFrame, min_sim: float) -> DataFrame:
+    """``a, b``, a < b: all pairs of vectors no longer than 1 that can reach ``min_sim`` > 0.
+
+    The common end of a vector that is shorter than ``min_sim`` cannot carry a pair alone, so a pair
+    must meet in an entry before it, and where it meets, what is left of both from there on must
+    still be long enough. A term with many such entries is dealt out as a grid of cells, blocks of
+    it on both sides.
     """
     if min_sim <= 0:
         raise ValueError("min_sim must be positive")
-    spread = weights.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = weights.join(spread, "term")
-    from_common = W.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_common))
-    heads = ranked.withColumn("rest", rest).where(F.col("rest") >= min_sim - SLACK)
-    heads = heads.select("id", "term", "rest")
-
-    hot = heads.groupBy("term").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("blocks"))
-    blocked = heads.join(hot.where("blocks > 1"), "term", "left").withColumn(
+    least = (min_sim - SLACK) ** 2
+    square = F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["w"] * e["w"])
+    begin = F.struct(F.col("square").alias("rest"), F.lit(0).alias("n"))
+    sized = vectors.select("id", F.inline(F.array(F.struct("entries", square.alias("square")))))
+    heads = F.aggregate(
+        "entries", begin,
+        lambda acc, e: F.struct(
+            (acc["rest"] - e["w"] * e["w"]).alias("rest"),
+            (acc["n"] + F.when(acc["rest"] >= least, 1).otherwise(0)).alias("n"),
+        ),
+        lambda acc: acc["n"],
+    )
+    first = sized.select("id", "square", F.posexplode(F.slice("entries", F.lit(1), heads)).alias("at", "e"))
+    so_far = W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.col("e.w") * F.col("e.w")).over(so_far), F.lit(0.0))
+    rest = F.sqrt(F.greatest(F.col("square") - used, F.lit(0.0)))
+    ranked = first.select("id", F.col("e.term").alias("term"), F.col("e.df").alias("df"), rest.alias("rest"))
+    # A term in one vector only cannot make a pair.
+    ranked = ranked.where("df > 1").select("id", "term", "rest")
+
+    hot = ranked.groupBy("term").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("blocks"))
+    blocked = ranked.join(hot.where("blocks > 1"), "term", "left").withColumn(
         "blocks", F.coalesce("blocks", F.lit(1))
     )
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = blocked.select(
-        "term",
-        F.col("id").alias("a"),
-        F.col("rest").alias("rest_a"),
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        "term", F.col("id").alias("a"), F.col("rest").alias("rest_a"), own.alias("row"), every.alias("column")
     )
     right = blocked.select(
-        "term",
-        F.col("id").alias("b"),
-        F.col("rest").alias("rest_b"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "term", F.col("id").alias("b"), F.col("rest").alias("rest_b"), own.alias("column"), every.alias("row")
     )
-    candidates = (
-        left.join(right, ["term", "block"])
+    return (
+        left.join(right, ["term", "row", "column"])
         .where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= min_sim - SLACK))
         .select("a", "b")
         .distinct()
     )
-    of_a = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("w_a"))
-    of_b = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("w_b"))
-    return (
-        candidates.join(of_a, "a")
-        .join(of_b, ["b", "term"])
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("w_a") * F.col("w_b")).alias("sim"))
-        .where(F.col("sim") >= min_sim - SLACK)
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ids in any pair."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def picked_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The vectors that occur in pairs; few ids are broadcast, so that the others are not shuffled."""
+    needed = stage(ends(pairs), fresh_path(pairs.sparkSession, "ids"))
+    if needed.limit(SMALL_IDS + 1).count() <= SMALL_IDS:
+        needed = F.broadcast(needed)
+    return vectors.join(needed, "id", "left_semi")
+
+
+def dot_products(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``a, b, sim`` for the given pairs: both vectors meet in a row, where the entries of both are
+    sorted and those with one term stand next to each other."""
+    picked = vectors.select("id", "entries")
+    both = (
+        pairs.join(picked.select(F.col("id").alias("a"), F.col("entries").alias("of_a")), "a")
+        .join(picked.select(F.col("id").alias("b"), F.col("entries").alias("of_b")), "b")
+        .select("a", "b", F.inline(F.array(F.struct(F.sort_array(F.concat("of_a", "of_b")).alias("s")))))
+    )
+    s = F.col("s")
+    sim = F.aggregate(
+        F.sequence(F.lit(0), F.size("s") - 1), F.lit(0.0),
+        lambda total, i: total
+        + F.when((i > 0) & (s[i]["term"] == s[F.greatest(i - 1, F.lit(0))]["term"]),
+                 s[i]["w"] * s[F.greatest(i - 1, F.lit(0))]["w"]).otherwise(0.0),
     )
+    return both.select("a", "b", sim.alias("sim"))
+
+
+def similar_pairs(vectors: DataFrame, min_sim: float) -> DataFrame:
+    """All pairs ``(a, b, sim)``, a < b, of vectors no longer than 1 whose dot product reaches
+    ``min_sim`` > 0. Exact. ``vectors`` is read several times and should be a written table."""
+    pairs = stage(candidate_pairs(vectors, min_sim), fresh_path(vectors.sparkSession, "candidates"))
+    return dot_products(pairs, picked_vectors(pairs, vectors)).where(F.col("sim") >= min_sim - SLACK)
 
 
 def cosine_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
-    """Pairs of unit vectors with at least this cosine similarity.
+    """Pairs of unit vectors (see ``as_vectors``) with at least this cosine similarity.
 
     Identical vectors should be represented once: see ``vector_groups``.
     """
-    # The weights are read four times; writing them once is cheaper than four TF-IDF runs.
-    return similar_pairs(cut_lineage(weights), min_sim).where(F.col("sim") >= min_sim)
+    kept = stage(as_vectors(weights), fresh_path(weights.sparkSession, "vectors"))
+    return similar_pairs(kept, min_sim).where(F.col("sim") >= min_sim)
 
 
-def vector_groups(weights: DataFrame) -> DataFrame:
+def vector_groups(vectors: DataFrame) -> DataFrame:
     """``(id, same_as, copies)``: texts with equal vectors share the smallest id among them.
 
     Copies are linked to one representative instead of to each other.
     """
-    entries = F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w"))))
-    signed = weights.groupBy("id").agg(F.sha2(F.to_json(entries), 256).alias("signature"))
+    entries = F.transform("entries", lambda e: F.struct(e["term"], F.round(e["w"], 12)))
+    signed = vectors.select("id", F.sha2(F.to_json(entries), 256).alias("signature"))
     shared = signed.groupBy("signature").agg(
         F.min("id").alias("same_as"), F.count("*").alias("copies")
     )
@@ -113,57 +193,77 @@ def vector_groups(weights: DataFrame) -> DataFrame:
 
 
 def linkage_clusters(weights: DataFrame, threshold: float) -> DataFrame:
-    """Average-linkage clusters of unit vectors cut at a cosine distance: ``(id, cluster)``.
+    """Average-linkage clusters of unit vectors (see ``as_vectors``) cut at a cosine distance: ``(id, cluster)``.
 
     The mean similarity of two clusters is the dot product of their mean vectors, so a cluster is
-    one sparse vector and its size; no table of all distances is needed. In each round every
-    cluster finds its most similar partner, and pairs that choose each other merge. For average
-    linkage this gives the same tree as merging one closest pair at a time. The closest pair of all
-    merges in every round, so rounds end: when no two clusters are closer than the threshold. Equal similarities are ordered by a hash of the pair.
+    one sparse vector and its size. Pairs of clusters above the cut are found once and kept. In each
+    round every cluster looks up its most similar partner, and pairs that choose each other merge;
+    for average linkage this gives the same tree as merging one closest pair at a time. A merged
+    cluster's similarity to another is the mean of its parts', so it can only pass the cut where one
+    part's did: those pairs alone are computed again, all others carry over. The closest pair of all
+    merges in every round, so rounds end when no pair is left. Equal similarities are ordered by a
+    hash of the pair; a cluster is named by the smallest id in it.
     """
-    groups = cut_lineage(vector_groups(weights))
+    spark = weights.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stage(df, fresh_path(spark, name))
+
+    vectors = kept(as_vectors(weights), "vectors")
+    groups = kept(vector_groups(vectors), "groups")
     members = groups.select("id", F.col("same_as").alias("cluster"))
     sizes = groups.groupBy(F.col("same_as").alias("id")).agg(F.max("copies").alias("size"))
-    clusters = cut_lineage(weights.join(sizes, "id"))
+    clusters = kept(vectors.join(sizes, "id"), "clusters")
     min_sim = 1.0 - threshold
+    above = F.round("sim", 12) > F.lit(round(min_sim, 12))
+    pairs = similar_pairs(clusters, max(min_sim, SLACK)).select("a", "b", F.round("sim", 12).alias("sim"))
+    pairs = kept(pairs.where(above), "pairs")
+    clusters = kept(picked_vectors(pairs, clusters), "clusters")
     for number in itertools.count(1):
-        close = similar_pairs(clusters.select("id", "term", "w"), max(min_sim, SLACK))
-        close = close.withColumn("sim", F.round("sim", 12)).where(
-            F.col("sim") > F.lit(round(min_sim, 12))
-        )
-        tie = F.xxhash64("a", "b")
-        close = cut_lineage(close.withColumn("rank", F.struct("sim", tie)))
-        choices = close.select(F.col("a").alias("own"), F.col("b").alias("other"), "rank").union(
-            close.select(F.col("b"), F.col("a"), "rank")
+        ranked = pairs.withColumn("rank", F.struct("sim", F.xxhash64("a", "b")))
+        choices = ranked.select(F.col("a").alias("own"), F.col("b").alias("other"), "rank").union(
+            ranked.select(F.col("b"), F.col("a"), "rank")
         )
         best = choices.groupBy("own").agg(F.max_by("other", "rank").alias("other"))
         back = best.select(F.col("own").alias("other"), F.col("other").alias("own"))
-        merges = cut_lineage(
+        merges = kept(
             best.join(back, ["own", "other"])
             .where(F.col("own") < F.col("other"))
-            .select(F.col("other").alias("_from"), F.col("own").alias("_into"))
+            .select(F.col("other").alias("_from"), F.col("own").alias("_into")),
+            "merges",
         )
         if merges.isEmpty():
-            break
+            return members
         members = _renamed(members, "cluster", merges)
         if number % 5 == 0:
-            members = cut_lineage(members)
-        moved = _renamed(clusters, "id", merges)
-        total = (
-            _renamed(clusters.select("id", "size").distinct(), "id", merges)
-            .groupBy("id")
-            .agg(F.sum("size").alias("total"))
+            members = kept(members, "members")
+        changed = merges.union(merges.select(F.col("_into").alias("_from"), "_into"))
+
+        at_a = changed.select(F.col("_from").alias("a"), F.col("_into").alias("new_a"))
+        at_b = changed.select(F.col("_from").alias("b"), F.col("_into").alias("new_b"))
+        x, y = F.coalesce("new_a", "a"), F.coalesce("new_b", "b")
+        moved = pairs.join(at_a, "a", "left").join(at_b, "b", "left").select(
+            F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
+            F.when(F.col("new_a").isNull() & F.col("new_b").isNull(), F.col("sim")).alias("sim"),
         )
-        clusters = cut_lineage(
-            moved.groupBy("id", "term")
-            .agg(F.sum(F.col("w") * F.col("size")).alias("mass"))
-            .join(total, "id")
-            .select(
-                "id", "term", (F.col("mass") / F.col("total")).alias("w"),
-                F.col("total").alias("size"),
-            )
+        # Two pairs that become one are both without a similarity, as one end has changed.
+        moved = kept(moved.where(F.col("a") != F.col("b")).distinct(), "moved")
+
+        parts = clusters.join(changed, clusters["id"] == changed["_from"])
+        totals = parts.groupBy("_into").agg(F.sum("size").alias("total"))
+        terms = parts.select("_into", "size", F.inline("entries")).groupBy("_into", "df", "term").agg(
+            F.sum(F.col("w") * F.col("size")).alias("mass")
+        )
+        entry = F.struct("df", "term", (F.col("mass") / F.col("total")).alias("w"))
+        joined = terms.join(totals, "_into").groupBy(F.col("_into").alias("id")).agg(
+            F.sort_array(F.collect_list(entry)).alias("entries"), F.max("total").alias("size")
         )
-    return members
+        rest = clusters.join(changed.select(F.col("_from").alias("id")), "id", "left_anti")
+        clusters = rest.select("id", "entries", "size").unionByName(joined)
+        clusters = kept(clusters.join(ends(moved), "id", "left_semi"), "clusters")
+        found = dot_products(moved.where("sim IS NULL").select("a", "b"), clusters)
+        found = found.select("a", "b", F.round("sim", 12).alias("sim")).where(above)
+        pairs = kept(moved.where("sim IS NOT NULL").union(found), "pairs")
 
 
 def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
@@ -171,6 +271,15 @@ def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_into", column)).drop("_from", "_into")
 
 
+def lone_or_paired(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Ids that are in no pair, or in one with an id that is in no other."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    degree = both.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("other"))
+    partner = degree.select(F.col("id").alias("other"), F.col("n").alias("m"))
+    crowded = degree.join(partner, "other", "left").where("n > 1 OR m > 1").select("id")
+    return ids.join(crowded, "id", "left_anti")
+
+
 def cluster_texts(
     df: DataFrame, text: str, threshold: float, to: str, max_terms: int | None = None
 ) -> DataFrame:
@@ -179,8 +288,8 @@ def cluster_texts(
     A text without any counted word is its own cluster.
     """
     distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
-    weights = tfidf(distinct, text, text, max_terms)
-    named = linkage_clusters(weights, threshold).select(
+    vectors = tfidf_vectors(distinct, text, text, max_terms)
+    named = linkage_clusters(vectors, threshold).select(
         F.col("id").alias(text), F.col("cluster").alias(to)
     )
     return df.join(named, text, "left").withColumn(to, F.coalesce(to, text))

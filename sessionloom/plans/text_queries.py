@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.cluster import spread
+from sessionloom.cluster import fresh_path, spread
 from sessionloom.functions import texts
 from sessionloom.functions.fixed_values import (
     AMOUNT_EXCEPTIONS,
@@ -15,6 +15,7 @@ from sessionloom.functions.moments import date_parts, parse_year
 from sessionloom.operators import lookup, textsim
 from sessionloom.plans.common import rounded
 from sessionloom.plans.registry import query
+from sessionloom.sources import files
 from sessionloom.sources.fixtures import EVENTS_SQL, session_events, table
 
 
@@ -459,10 +460,10 @@ def tfidf_weights(spark, folder):
 
 @query(
     "tfidf_documents",
-    tfidf_sql(NUMBERED_DOCS_SQL) + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
+    tfidf_sql(NUMBERED_DOCS_SQL, "ALL") + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
 )
 def tfidf_documents(spark, folder):
-    return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text", MAX_TERMS))
+    return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text"))
 
 
 @query(
@@ -482,21 +483,21 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.2""",
 )
 def cosine_pairs(spark, folder):
-    weights = textsim.tfidf(_names(spark, folder), "p_name", "p_name", MAX_TERMS)
-    return rounded(textsim.cosine_pairs(weights, 0.2))
+    vectors = textsim.tfidf_vectors(_names(spark, folder), "p_name", "p_name", MAX_TERMS)
+    return rounded(textsim.cosine_pairs(vectors, 0.2))
 
 
 @query(
     "cosine_pairs_documents",
-    tfidf_sql(NUMBERED_DOCS_SQL)
+    tfidf_sql(NUMBERED_DOCS_SQL, "ALL")
     + """
 SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w) + 3e-9, 6) AS sim
 FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents(spark, folder):
-    weights = textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text", MAX_TERMS)
-    return rounded(textsim.cosine_pairs(weights, 0.9))
+    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
 @query(
@@ -508,8 +509,8 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents_all(spark, folder):
-    weights = textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text")
-    return rounded(textsim.cosine_pairs(weights, 0.9))
+    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
 @query("text_clusters")
@@ -518,6 +519,38 @@ def text_clusters(spark, folder):
     return textsim.cluster_texts(parts, "p_name", 0.80, "name_cluster", MAX_TERMS)
 
 
+DOCUMENT_CUT = 0.25
+
+
+@query("text_clusters_documents")
+def text_clusters_documents(spark, folder):
+    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    return textsim.linkage_clusters(vectors, DOCUMENT_CUT)
+
+
+@query(
+    "text_clusters_documents_small",
+    tfidf_sql(NUMBERED_DOCS_SQL, "ALL")
+    + f""",
+pairs AS (SELECT x.id AS a, y.id AS b FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
+  GROUP BY x.id, y.id HAVING round(sum(x.w * y.w), 12) > {1 - DOCUMENT_CUT}),
+ends AS (SELECT a AS id, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
+degree AS (SELECT id, count(*) AS n, min(other) AS other FROM ends GROUP BY id)
+SELECT d.id, coalesce(least(d.id, x.other), d.id) AS cluster
+FROM (SELECT DISTINCT id FROM weights) d LEFT JOIN degree x ON x.id = d.id LEFT JOIN degree y ON y.id = x.other
+WHERE coalesce(x.n, 1) = 1 AND coalesce(y.n, 1) = 1""",
+)
+def text_clusters_documents_small(spark, folder):
+    """The clusters of documents that stand alone or have one partner above the cut."""
+    kept = files.stage(
+        textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text"), fresh_path(spark, "vectors")
+    )
+    clusters = textsim.linkage_clusters(kept, DOCUMENT_CUT)
+    sims = textsim.similar_pairs(kept, 1 - DOCUMENT_CUT)
+    pairs = sims.where(F.round("sim", 12) > 1 - DOCUMENT_CUT).select("a", "b")
+    return textsim.lone_or_paired(files.stage(pairs, fresh_path(spark, "pairs")), clusters)
+
+
 DIMENSIONS = 64
 
 
