@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.cluster import fresh_path
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.positions import number_in_order
+from sessionloom.sources.files import stage
 
 
 def domain_codes(df: DataFrame, column: str, sentinel: str | None = None) -> DataFrame:
@@ -34,12 +36,18 @@ def codes(
     return attach(df, domain.withColumnRenamed("code", to), column, fills)
 
 
+def narrow_values(df: DataFrame, column: str, at_most: int = 1000) -> list | None:
+    """Sorted distinct values of a column, or None where it has more than ``at_most``."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(at_most + 1).collect()
+    return sorted(row[0] for row in found) if len(found) <= at_most else None
+
+
 def distinct_values(df: DataFrame, column: str, at_most: int = 1000) -> list:
     """Sorted distinct values of a narrow column; refuses a wide one."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(at_most + 1).collect()
-    if len(found) > at_most:
-        raise ValueError(f"{column} has over {at_most} values; use codes() or a vector instead")
-    return sorted(row[0] for row in found)
+    found = narrow_values(df, column, at_most)
+    if found is None:
+        raise ValueError(f"{column} has over {at_most} values; use codes() or one_hot_vector() instead")
+    return found
 
 
 def one_hot(df: DataFrame, column: str, values: list, prefix: str, drop: bool = True) -> DataFrame:
@@ -52,6 +60,28 @@ def one_hot(df: DataFrame, column: str, values: list, prefix: str, drop: bool =
     return wide.drop(column) if drop else wide
 
 
+def one_hot_vector(
+    df: DataFrame, column: str, to: str, fit_on: DataFrame | None = None, code: str | None = None
+) -> DataFrame:
+    """A sparse 0/1 vector per row, one place per distinct value in sorted order, for any number of
+    values; null and unseen values give a vector of zeros.
+
+    The dictionary is a table that is joined back, never a list on the driver. ``code`` also keeps
+    the place (null where there is none).
+    """
+    domain = stage(
+        domain_codes(fit_on if fit_on is not None else df, column), fresh_path(df.sparkSession, "dictionary")
+    )
+    size = max(domain.count(), 1)
+    coded = attach(df, domain.withColumnRenamed("code", "_code"), column)
+    coded = coded.withColumn("_place", F.coalesce(F.col("_code"), F.lit(size)).cast("double"))
+    # The place after the last value is the one the encoder drops, so it becomes zeros.
+    encoder = OneHotEncoder(inputCol="_place", outputCol=to, dropLast=True)
+    fitted = encoder.fit(df.sparkSession.range(1).select(F.lit(float(size)).alias("_place")))
+    wide = fitted.transform(coded).drop("_place")
+    return wide.withColumnRenamed("_code", code) if code else wide.drop("_code")
+
+
 def equal_width(df: DataFrame, column: str, labels: list[str], to: str) -> DataFrame:
     """Equal-width bins over the column's range, closed on the right; one value only: middle bin."""
     edges = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()

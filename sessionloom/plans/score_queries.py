@@ -373,6 +373,65 @@ def csv_roundtrip(spark, folder):
     return files.read_events(spark, _event_csv(spark, folder))
 
 
+EVENT_COLUMNS = ["event_time", "event_type", "product_id", "category_id", "user_id", KEY, "session_value"]
+
+
+def _mixed_csv(spark, folder):
+    """The log in four folders by event number: as it is; other order and times with a space; times in
+    UTC and no label; labels NaN, some times no times, and lines that are cut short."""
+    base = fresh_path(spark, "mixed-csv")
+    events = staged_events(spark, folder).withColumn(
+        "user_id", F.concat(F.lit("USER_"), F.col("user_id").cast("string"))
+    )
+    time = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    spaced, zoned = F.translate(time, "T", " "), F.concat(time, F.lit("Z"))
+    broken = F.when(F.col("event_id") % 40 == 3, "soon").otherwise(time)
+    late = [c for c in EVENT_COLUMNS if c != "event_time"]
+    forms = [
+        (time, EVENT_COLUMNS, F.col("session_value").cast("string")),
+        (spaced, [KEY, "session_value", *EVENT_COLUMNS[1:5], "event_time"], F.col("session_value").cast("string")),
+        (zoned, [c for c in EVENT_COLUMNS if c != "session_value"], None),
+        (broken, [*late[:3], "event_time", *late[3:]], F.lit("NaN")),
+    ]
+    for i, (when, names, label) in enumerate(forms):
+        part = events.where(F.col("event_id") % 4 == i).withColumn("event_time", when)
+        part = part if label is None else part.withColumn("session_value", label)
+        files.write_csv(part.select(*names), f"{base}/log{i}")
+    short = events.where(F.col("event_id") % 100 == 0).select(F.concat(F.lit("x,"), "product_id").alias("value"))
+    header = spark.range(1).select(F.lit(",".join(EVENT_COLUMNS)).alias("value"))
+    header.unionByName(short).coalesce(1).write.text(f"{base}/log4")  # the lines of one small file, in order
+    return f"{base}/log*"
+
+
+MIXED_SQL = """
+SELECT CASE WHEN event_id % 40 <> 3 THEN event_time END AS event_time, event_type, product_id, category_id,
+  'USER_' || user_id AS user_id, user_session, CASE WHEN event_id % 4 < 2 THEN session_value END AS session_value
+FROM ev"""
+
+
+@query("event_log_mixed_csv", EVENTS_SQL + MIXED_SQL)
+def event_log_mixed_csv(spark, folder):
+    return files.read_events(spark, _mixed_csv(spark, folder))
+
+
+@query(
+    "event_log_report",
+    EVENTS_SQL
+    + """
+, f AS (SELECT 'log' || (event_id % 4) AS log, count(*) AS n_rows, 0 AS n_rejected,
+    count(*) FILTER (event_id % 40 = 3) AS unread_event_time,
+    count(*) FILTER (event_id % 4 = 3) AS unread_session_value FROM ev GROUP BY ALL
+  UNION ALL SELECT 'log4', count(*), count(*), 0, 0 FROM ev WHERE event_id % 100 = 0)
+SELECT log, n_rows, CAST(n_rejected AS BIGINT) AS n_rejected, unread_event_time, unread_session_value
+FROM f WHERE n_rows > 0""",
+)
+def event_log_report(spark, folder):
+    report = files.event_file_report(spark, _mixed_csv(spark, folder))
+    counts = [c for c in report.columns if c != "file_path"]
+    log = F.regexp_extract("file_path", r"/(log\d)/", 1).alias("log")
+    return report.groupBy(log).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 @query(
     "multi_file_scan",
     EVENTS_SQL
@@ -625,6 +684,61 @@ def gbt_scores(spark, folder):
     return _submission(fitted["boosted"].transform(scoring))
 
 
+VARIANTS = {"counts": ["event_count"], "basic": BASIC}
+FILE_TO_FILE_SQL = (
+    EVENTS_SQL
+    + BASIC_SQL
+    + f""",
+ls0 AS (SELECT g, user_session AS id, session_value IS NOT NULL AND {IN_TRAINING_SQL} AS fit,
+  {", ".join(f"CAST({c} * {'1' if c == 'event_count' else 'g'} AS DOUBLE) AS {c}" for c in BASIC)}, session_value AS y
+  FROM base, (VALUES (0), (1)) v(g)),
+"""
+    + least_squares_sql(BASIC)
+    + f""",
+errors AS (SELECT g, sqrt(avg((y - prediction) ** 2)) AS rmse FROM fitted
+  WHERE y IS NOT NULL AND NOT ({IN_TRAINING_SQL.replace("user_session", "id")}) GROUP BY g),
+long AS (SELECT id, g, rmse, prediction FROM fitted JOIN errors USING (g) WHERE y IS NULL),
+out AS (
+  SELECT 'best_single' AS variant, id, arg_min(prediction, (rmse, g)) AS p FROM long GROUP BY id
+  UNION ALL SELECT 'ensemble_simple', id, avg(prediction) FROM long GROUP BY id
+  UNION ALL SELECT 'ensemble_weighted', id, sum(prediction / rmse) / sum(1 / rmse) FROM long GROUP BY id)
+SELECT variant, id AS user_session, round(greatest(p, 0) + {TIE_SHIFT}, 6) AS session_value FROM out"""
+)
+
+
+@query("file_to_file", FILE_TO_FILE_SQL)
+def file_to_file(spark, folder):
+    """From event files to prediction files: read, sum up sessions, fit two linear models outside the
+    hold-out, compare them there, clip, write best, mean and weighted mean, read back."""
+    events = files.read_events(spark, _event_csv(spark, folder))
+    sessions = basic_features(events.withColumn("event_id", F.monotonically_increasing_id()))
+    sessions = models.hash_split(files.stage(sessions, fresh_path(spark, "sessions")), KEY)
+    labelled = sessions.where(F.col("session_value").isNotNull())
+    train, held_out = labelled.where(~F.col("is_validation")), labelled.where("is_validation")
+    fits = {name: leastsq.fit_linear(train, features, "session_value") for name, features in VARIANTS.items()}
+
+    def long(rows):
+        each = [F.struct(F.lit(n).alias("model"), f.prediction().alias("prediction")) for n, f in fits.items()]
+        return rows.select(KEY, "session_value", F.inline(F.array(*each)))
+
+    scores = score.metrics(long(held_out), "session_value", "prediction", ["model"])
+    scores = files.stage(scores, fresh_path(spark, "scores"))
+    predicted = long(sessions.where(F.col("session_value").isNull())).drop("session_value")
+    best = attach(score.best_model(scores).select("model"), predicted, "model").select(KEY, "prediction")
+    variants = {
+        "best_single": best,
+        "ensemble_simple": score.ensemble_mean(predicted, KEY, "prediction"),
+        "ensemble_weighted": score.blend(predicted, score.inverse_error_weights(scores), KEY, "prediction"),
+    }
+    base = fresh_path(spark, "submissions")
+    for name, rows in variants.items():
+        files.write_predictions(_submission(rows), f"{base}/submission_{name}.csv")
+    schema = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("session_value", T.DoubleType())])
+    back = files.read_many(spark, f"{base}/submission_*.csv", schema)
+    variant = F.regexp_extract("file_path", r"submission_(\w+)\.csv", 1).alias("variant")
+    return rounded(back.select(variant, KEY, "session_value"))
+
+
 FOLDS = 5
 FOLD_SQL = (
     EVENTS_SQL

@@ -20,18 +20,21 @@ from sessionloom.functions.texts import (
     word_total,
 )
 from sessionloom.operators import history, sessions
-from sessionloom.operators.encode import distinct_values, one_hot
+from sessionloom.operators.encode import narrow_values, one_hot, one_hot_vector
 from sessionloom.operators.lookup import code_of, resolve_place
 from sessionloom.operators.profile import iqr_filter
 
+NARROW = 1000  # values that become columns
+
 __all__ = ["session_table", "clean_sessions", "event_table", "survey_table"]
 
 
 def session_table(events: DataFrame, main_categories: list | None = None) -> DataFrame:
     """One row per session with everything a session regressor is fitted on.
 
-    Side tables are fitted on rows of the ``train`` split. The dummies of the main category need
-    its values: given, or collected from the (narrow) category column.
+    Side tables are fitted on rows of the ``train`` split. The main category becomes a 0/1 column per
+    value, given or collected from a narrow category column; a wide one becomes the sparse vector
+    ``main_category_vector``.
     """
     train = events.where(F.col("split") == "train")
     popularity = history.category_popularity(train)
@@ -47,7 +50,10 @@ def session_table(events: DataFrame, main_categories: list | None = None) -> Dat
     table = sessions.density_features(table, mean_popularity)
     table = sessions.value_segments(table)
     if main_categories is None:
-        main_categories = distinct_values(events, "category_id")
+        main_categories = narrow_values(events, "category_id", NARROW)
+    if main_categories is None:
+        known = events.select(F.col("category_id").alias("main_category"))
+        return one_hot_vector(table, "main_category", "main_category_vector", known).drop("main_category")
     return one_hot(table, "main_category", main_categories, "cat")
 
 

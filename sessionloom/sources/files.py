@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,20 +39,89 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """An event log from CSV files with a header.
+REJECTED = "_rejected"
+
+
+def file_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files of a path by their first line; files without one are left out.
+
+    Lines are read by Spark and one comes back per file, as many as the file index holds anyway.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
+    )
+    first = lines.where("_metadata.file_block_start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").toLocalIterator():
+        if row["header"].strip():
+            groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return groups
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line; a name that repeats keeps its first place."""
+    names = [name.strip() for name in next(csv.reader([header.lstrip("\ufeff")]))]
+    return [n if n and n not in names[:i] else f"_column{i}" for i, n in enumerate(names)]
+
+
+def raw_event_rows(spark: SparkSession, path: str | list[str], schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+    """Rows of event files as text columns in the order of ``schema``, with ``file_path`` and whether
+    the row had another number of fields than its header (``_rejected``).
+
+    Files are grouped by their header; each group is one scan with its own columns, picked by name.
+    """
+    parts = []
+    for header, files in file_headers(spark, path).items():
+        names = header_names(header)
+        there = set(names)
+        fields = [T.StructField(n, T.StringType()) for n in [*names, REJECTED]]
+        # Without all columns the parser would not see that a row is cut short.
+        rows = spark.read.options(**CSV_OPTIONS, columnNameOfCorruptRecord=REJECTED, columnPruning="false")
+        rows = rows.schema(T.StructType(fields)).csv(files)
+        parts.append(
+            rows.select(
+                *[
+                    (F.col(f"`{f.name}`") if f.name in there else F.lit(None).cast("string")).alias(f.name)
+                    for f in schema.fields
+                ],
+                F.col("_metadata.file_path").alias("file_path"),
+                # Spark wants another column of the file beside this one in every query.
+                (F.col(REJECTED).isNotNull() & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0))
+                .alias(REJECTED),
+            )
+        )
+    if not parts:
+        empty = ", ".join(f"`{f.name}` string" for f in schema.fields)
+        return spark.createDataFrame([], f"{empty}, file_path string, {REJECTED} boolean")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_events(spark: SparkSession, path: str | list[str], schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+    """An event log from CSV files with headers, which may differ from file to file.
 
     Columns are found by name in any order; a missing one is null. Times may have a ``T`` or a space,
-    fractions, and a zone or offset (then in UTC); NaN and infinite numbers are null.
+    fractions, and a zone or offset (then in UTC); NaN and infinite numbers are null. Rows with
+    another number of fields than their header are left out; ``event_file_report`` counts them.
     """
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    there = set(raw.columns)
-    return raw.select(
-        *[
-            _typed(F.col(f"`{f.name}`") if f.name in there else F.lit(None).cast("string"), f.dataType)
-            .alias(f.name)
-            for f in schema.fields
-        ]
+    rows = raw_event_rows(spark, path, schema).where(~F.col(REJECTED))
+    return rows.select(*[_typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields])
+
+
+def event_file_report(spark: SparkSession, path: str | list[str], schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+    """Per file: rows read, rows rejected, and per column that is not text the values of kept rows that
+    are given but cannot be read."""
+    rows = raw_event_rows(spark, path, schema)
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    bad = [
+        F.count_if(
+            ~F.col(REJECTED) & F.col(f"`{f.name}`").isNotNull() & _typed(F.col(f"`{f.name}`"), f.dataType).isNull()
+        ).alias(f"unread_{f.name}")
+        for f in typed
+    ]
+    return rows.groupBy("file_path").agg(
+        F.count("*").alias("n_rows"), F.count_if(REJECTED).alias("n_rejected"), *bad
     )
 
 
