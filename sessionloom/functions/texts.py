@@ -8,7 +8,13 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.fixed_values import AMOUNT_EXCEPTIONS, FOLD_SPECIAL, UNKNOWN_WORD
+from sessionloom.functions.fixed_values import (
+    AMOUNT_EXCEPTIONS,
+    FOLD_CYRILLIC,
+    FOLD_GREEK,
+    FOLD_SPECIAL,
+    UNKNOWN_WORD,
+)
 from sessionloom.functions.moments import as_column
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -26,7 +32,8 @@ def id_number(value: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def fold_pairs() -> tuple[dict[str, str], dict[str, str]]:
-    """Lower-case Latin letters to ASCII: (one letter to one, one letter to several).
+    """Lower-case Latin, Greek and Cyrillic letters to ASCII: (one letter to one, one letter to several
+    or none).
 
     Letters that Unicode decomposes into a base letter and marks follow from that rule.
     """
@@ -39,7 +46,13 @@ def fold_pairs() -> tuple[dict[str, str], dict[str, str]]:
         )
         if letter.islower() and base.isascii() and len(base) == 1:
             single[letter] = base
-    for letter, plain in FOLD_SPECIAL.items():
+    other = {**FOLD_GREEK, **FOLD_CYRILLIC}
+    for code in [*range(0x0370, 0x0400), *range(0x1F00, 0x2000)]:
+        letter = chr(code)
+        base = unicodedata.normalize("NFD", letter)[0]
+        if letter.islower() and base in FOLD_GREEK:
+            other[letter] = FOLD_GREEK[base]
+    for letter, plain in {**other, **FOLD_SPECIAL}.items():
         (single if len(plain) == 1 else several)[letter] = plain
     return single, several
 
@@ -47,10 +60,12 @@ def fold_pairs() -> tuple[dict[str, str], dict[str, str]]:
 def ascii_fold(value: Column | str) -> Column:
     """Lower-case text to its ASCII spelling; marks on their own are dropped later on."""
     single, several = fold_pairs()
-    column = F.translate(as_column(value), "".join(single), "".join(single.values()))
-    for letter, plain in several.items():
-        column = F.replace(column, F.lit(letter), F.lit(plain))
-    return column
+    plain = as_column(value)
+    column = F.translate(plain, "".join(single), "".join(single.values()))
+    for letter, spelling in several.items():
+        column = F.replace(column, F.lit(letter), F.lit(spelling))
+    # Most texts hold ASCII only, which is seen from their lengths.
+    return F.when(F.octet_length(plain) == F.char_length(plain), plain).otherwise(column)
 
 
 def normalize_text(value: Column | str, collapse: bool = False) -> Column:
@@ -59,7 +74,7 @@ def normalize_text(value: Column | str, collapse: bool = False) -> Column:
     With ``collapse``, runs of white space become one space, the ends are trimmed and a missing
     or empty text becomes the word for "unknown".
     """
-    plain = F.regexp_replace(ascii_fold(F.lower(as_column(value))), r"[^a-z\s]", "")
+    plain = F.regexp_replace(ascii_fold(F.lower(as_column(value))), r"[^a-z\s]+", "")
     if not collapse:
         return plain
     trimmed = F.trim(F.regexp_replace(plain, r"\s+", " "))

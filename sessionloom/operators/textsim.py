@@ -17,45 +17,68 @@ WORD = r"(?U)\b\w\w+\b"
 HOT_ROWS = 2_000  # rows of one term on each side of a join cell
 SMALL_IDS = 1_000_000  # ids that are broadcast to pick vectors; beyond, they are joined by shuffle
 SLACK = 1e-9
+TF_BITS = 26  # of a word's count in one text, beside its frequency in one long
 
 
 def term_counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """``id, terms``: the distinct words of two characters or more of each text with their counts.
+    """``id, digest, terms``: the distinct words of two characters or more of each text with their
+    counts, and the SHA-256 of the text.
 
     Counted inside the row, from the sorted words and the places where a new one starts.
     """
-    words = F.sort_array(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    sorted_ = docs.select(F.col(id_).alias("id"), words.alias("s")).where(F.size("s") > 0)
+    found = F.coalesce(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    sorted_ = docs.select(F.col(id_).alias("id"), F.sha2(text, 256).alias("digest"), F.sort_array(found).alias("s"))
     starts = F.filter(
-        F.sequence(F.lit(0), F.size("s") - 1),
+        F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: (i == 0) | (F.col("s")[i] != F.col("s")[F.greatest(i - 1, F.lit(0))]),
     )
     # The generator keeps the sorted words a column of their own, computed once.
-    placed = sorted_.select("id", F.inline(F.array(F.struct("s", starts.alias("at")))))
+    placed = sorted_.select("id", "digest", F.inline(F.array(F.struct("s", starts.alias("at")))))
     after = lambda k: F.coalesce(F.get(F.col("at"), k + 1), F.size("s"))
     terms = F.transform(
         "at", lambda i, k: F.struct(F.col("s")[i].alias("term"), (after(k) - i).cast("long").alias("tf"))
     )
-    return placed.select("id", terms.alias("terms"))
+    return placed.select("id", "digest", terms.alias("terms"))
 
 
-def tfidf_vectors(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
+def first_of_each(counted: DataFrame) -> DataFrame:
+    """Of rows with one digest the one with the smallest id; few ids are broadcast, so that rows are
+    not shuffled."""
+    first = counted.groupBy("digest").agg(F.min("id").alias("id")).select("id")
+    first = stage(first, fresh_path(counted.sparkSession, "first"))
+    if first.limit(SMALL_IDS + 1).count() <= SMALL_IDS:
+        first = F.broadcast(first)
+    return counted.join(first, "id", "left_semi")
+
+
+def tfidf_vectors(
+    docs: DataFrame, id_: str, text: str, max_terms: int | None = None, once: bool = False
+) -> DataFrame:
     """``id, entries``: one sparse vector of unit length per text, entries (df, term, w) from the rarest
     term to the most common; smooth idf, all terms or the ``max_terms`` most frequent.
 
-    Ties in the cut go to the earlier term. Texts without a counted term have no row. Postings are
-    shuffled by term, to meet their frequency, and by id.
+    Ties in the cut go to the earlier term. With ``once``, equal texts are one, under the smallest id.
+    Texts without a counted term have no row. Words are counted in one pass; postings are shuffled
+    by term, to meet their frequency, and by id, as plain arrays of terms and numbers.
     """
-    spark = docs.sparkSession
-    counted = stage(term_counts(docs, id_, text), fresh_path(spark, "terms"))
+    counted = stage(term_counts(docs, id_, text), fresh_path(docs.sparkSession, "terms"))
+    if once:
+        counted = first_of_each(counted)
     counts = counted.select("id", F.inline("terms"))
     terms = counts.groupBy("term").agg(F.sum("tf").alias("_total"), F.count("*").alias("df"))
     if max_terms is not None:
         terms = terms.orderBy(F.desc("_total"), "term").limit(max_terms)
-    n = docs.agg(F.count("*")).scalar()
-    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    entry = F.struct("df", "term", (F.col("tf") * idf).alias("w"))
-    raw = counts.join(terms, "term").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    n = counted.count()
+    # Both lists of an id grow and merge together, so their places agree.
+    lists = counts.join(terms.select("term", "df"), "term").groupBy("id").agg(
+        F.collect_list("term").alias("t"), F.collect_list(F.shiftleft("df", TF_BITS) + F.col("tf")).alias("c")
+    )
+    idf = lambda df: F.log((n + 1) / (df + 1)) + 1
+    low = F.lit((1 << TF_BITS) - 1)
+    entry = lambda t, c: F.struct(
+        F.shiftright(c, TF_BITS).alias("df"), t.alias("term"), (c.bitwiseAND(low) * idf(F.shiftright(c, TF_BITS))).alias("w")
+    )
+    raw = lists.select("id", F.inline(F.array(F.struct(F.sort_array(F.zip_with("t", "c", entry)).alias("entries")))))
     length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
     sized = raw.select("id", F.inline(F.array(F.struct("entries", length.alias("length")))))
     return sized.select(
@@ -66,9 +89,12 @@ def tfidf_vectors(docs: DataFrame, id_: str, text: str, max_terms: int | None =
     )
 
 
-def tfidf(docs: DataFrame, id_: str, text: str, max_terms: int | None = None) -> DataFrame:
+def tfidf(
+    docs: DataFrame, id_: str, text: str, max_terms: int | None = None, once: bool = False
+) -> DataFrame:
     """``id, term, w``: the vectors of ``tfidf_vectors`` in long form."""
-    return tfidf_vectors(docs, id_, text, max_terms).select("id", F.inline("entries")).select("id", "term", "w")
+    vectors = tfidf_vectors(docs, id_, text, max_terms, once)
+    return vectors.select("id", F.inline("entries")).select("id", "term", "w")
 
 
 def as_vectors(weights: DataFrame) -> DataFrame:

@@ -57,6 +57,27 @@ def text_normalize_b(spark, folder):
     return docs.select("doc_id", texts.normalize_text("text", collapse=True).alias("plain"))
 
 
+LATIN_LETTERS, CYRILLIC_LETTERS = "abvgdeziklmnoprstufy", "абвгдезиклмнопрстуфы"
+GREEK_LETTERS = {"a": "ά", "b": "β", "g": "γ", "d": "δ", "e": "ή", "i": "ΐ", "l": "Λ", "o": "ώ", "s": "ς", "u": "ϋ"}
+
+
+@query(
+    "text_normalize_scripts",
+    f"""
+SELECT p_partkey, script, CASE WHEN script = 'signs' THEN plain || ' shchuzhiia psikhe thphi' ELSE plain END AS plain
+FROM (SELECT p_partkey, {collapsed_sql('p_name')} AS plain FROM part), (VALUES ('greek'), ('cyrillic'), ('signs')) t(script)""",
+)
+def text_normalize_scripts(spark, folder):
+    """Names respelled in Greek and Cyrillic letters come back in Latin ones."""
+    name = F.col("p_name")
+    cyrillic = F.translate(F.lower(name), LATIN_LETTERS, CYRILLIC_LETTERS)
+    greek = F.translate(F.lower(name), "".join(GREEK_LETTERS), "".join(GREEK_LETTERS.values()))
+    forms = [("greek", greek), ("cyrillic", F.upper(cyrillic)), ("signs", F.concat(cyrillic, F.lit(" ЩУЖИЯ Ψιχὴ θφι")))]
+    each = F.array(*[F.struct(F.lit(s).alias("script"), form.alias("text")) for s, form in forms])
+    rows = table(spark, folder, "part").select("p_partkey", F.inline(each))
+    return rows.select("p_partkey", "script", texts.normalize_text("text", collapse=True).alias("plain"))
+
+
 @query("lower_text", "SELECT doc_id, lower(text) AS lowered FROM documents")
 def lower_text(spark, folder):
     return _documents(spark, folder).select("doc_id", F.lower("text").alias("lowered"))
@@ -439,15 +460,8 @@ def _names(spark, folder):
     return table(spark, folder, "part").select("p_name").distinct()
 
 
-def _distinct_docs(spark, folder):
-    plain = _documents(spark, folder).select(
-        "doc_id", texts.normalize_text("text").alias("text")
-    )
-    # Grouping on a digest keeps whole texts out of the shuffle until copies are gone.
-    first = plain.withColumn("digest", F.sha2("text", 256)).groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id")
-    )
-    return plain.join(first.select("doc_id"), "doc_id", "left_semi")
+def _plain_docs(spark, folder):
+    return _documents(spark, folder).select("doc_id", texts.normalize_text("text").alias("text"))
 
 
 @query(
@@ -463,7 +477,7 @@ def tfidf_weights(spark, folder):
     tfidf_sql(NUMBERED_DOCS_SQL, "ALL") + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
 )
 def tfidf_documents(spark, folder):
-    return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text"))
+    return rounded(textsim.tfidf(_plain_docs(spark, folder), "doc_id", "text", once=True))
 
 
 @query(
@@ -471,7 +485,7 @@ def tfidf_documents(spark, folder):
     tfidf_sql(NUMBERED_DOCS_SQL, "ALL") + "SELECT id, term, round(w + 3e-9, 6) AS w FROM weights",
 )
 def tfidf_documents_all(spark, folder):
-    return rounded(textsim.tfidf(_distinct_docs(spark, folder), "doc_id", "text"))
+    return rounded(textsim.tfidf(_plain_docs(spark, folder), "doc_id", "text", once=True))
 
 
 @query(
@@ -496,7 +510,7 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents(spark, folder):
-    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True)
     return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
@@ -509,7 +523,7 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents_all(spark, folder):
-    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True)
     return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
@@ -524,7 +538,7 @@ DOCUMENT_CUT = 0.25
 
 @query("text_clusters_documents")
 def text_clusters_documents(spark, folder):
-    vectors = textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text")
+    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True)
     return textsim.linkage_clusters(vectors, DOCUMENT_CUT)
 
 
@@ -543,7 +557,7 @@ WHERE coalesce(x.n, 1) = 1 AND coalesce(y.n, 1) = 1""",
 def text_clusters_documents_small(spark, folder):
     """The clusters of documents that stand alone or have one partner above the cut."""
     kept = files.stage(
-        textsim.tfidf_vectors(_distinct_docs(spark, folder), "doc_id", "text"), fresh_path(spark, "vectors")
+        textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True), fresh_path(spark, "vectors")
     )
     clusters = textsim.linkage_clusters(kept, DOCUMENT_CUT)
     sims = textsim.similar_pairs(kept, 1 - DOCUMENT_CUT)

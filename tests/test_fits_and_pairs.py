@@ -107,7 +107,13 @@ def test_counts_inside_the_row(spark):
     texts = ["b a bb aa bb", "", None, "x", "Aa aa AA çç zz"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     got = {r["id"]: {e["term"]: e["tf"] for e in r["terms"]} for r in textsim.term_counts(df, "id", "t").collect()}
-    assert got == {0: {"bb": 2, "aa": 1}, 4: {"aa": 3, "çç": 1, "zz": 1}}
+    assert got == {0: {"bb": 2, "aa": 1}, 1: {}, 2: {}, 3: {}, 4: {"aa": 3, "çç": 1, "zz": 1}}
+
+
+def test_equal_texts_count_once(spark):
+    df = spark.createDataFrame([(3, "aa bb"), (1, "aa bb"), (2, "aa"), (4, ""), (5, None)], "id long, t string")
+    once = {r["id"] for r in textsim.tfidf_vectors(df, "id", "t", once=True).collect()}
+    assert once == {1, 2} and textsim.tfidf_vectors(df, "id", "t").count() == 3
 
 
 def linkage(sim, least):
