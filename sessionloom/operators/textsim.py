@@ -52,16 +52,20 @@ def first_of_each(counted: DataFrame) -> DataFrame:
 
 
 def tfidf_vectors(
-    docs: DataFrame, id_: str, text: str, max_terms: int | None = None, once: bool = False
+    docs: DataFrame, id_: str, text: str, max_terms: int | None = None, once: bool = False,
+    shared: bool = False,
 ) -> DataFrame:
     """``id, entries``: one sparse vector of unit length per text, entries (df, term, w) from the rarest
     term to the most common; smooth idf, all terms or the ``max_terms`` most frequent.
 
     Ties in the cut go to the earlier term. With ``once``, equal texts are one, under the smallest id.
-    Texts without a counted term have no row. Words are counted in one pass; postings are shuffled
-    by term, to meet their frequency, and by id, as plain arrays of terms and numbers.
+    With ``shared``, entries of terms that no other text has are left out after they have counted for
+    the length, as they add to no dot product. Texts without a counted term have no row. Words are
+    counted in one pass; postings are shuffled by term, to meet their frequency, and by id, as plain
+    arrays of terms and numbers, and written as counts, from which weights are worked out again.
     """
-    counted = stage(term_counts(docs, id_, text), fresh_path(docs.sparkSession, "terms"))
+    spark = docs.sparkSession
+    counted = stage(term_counts(docs, id_, text), fresh_path(spark, "terms"))
     if once:
         counted = first_of_each(counted)
     counts = counted.select("id", F.inline("terms"))
@@ -69,24 +73,26 @@ def tfidf_vectors(
     if max_terms is not None:
         terms = terms.orderBy(F.desc("_total"), "term").limit(max_terms)
     n = counted.count()
+    idf = lambda df: F.log((n + 1) / (df + 1)) + 1
+    held = F.col("df") > (1 if shared else 0)
     # Both lists of an id grow and merge together, so their places agree.
     lists = counts.join(terms.select("term", "df"), "term").groupBy("id").agg(
-        F.collect_list("term").alias("t"), F.collect_list(F.shiftleft("df", TF_BITS) + F.col("tf")).alias("c")
+        F.collect_list(F.when(held, F.col("term"))).alias("t"),
+        F.collect_list(F.when(held, F.shiftleft("df", TF_BITS) + F.col("tf"))).alias("c"),
+        F.sum(F.when(held, 0).otherwise(F.col("tf") * F.col("tf"))).alias("alone"),
     )
-    idf = lambda df: F.log((n + 1) / (df + 1)) + 1
-    low = F.lit((1 << TF_BITS) - 1)
     entry = lambda t, c: F.struct(
-        F.shiftright(c, TF_BITS).alias("df"), t.alias("term"), (c.bitwiseAND(low) * idf(F.shiftright(c, TF_BITS))).alias("w")
+        F.shiftright(c, TF_BITS).alias("df"), t.alias("term"), c.bitwiseAND(F.lit((1 << TF_BITS) - 1)).alias("tf")
     )
-    raw = lists.select("id", F.inline(F.array(F.struct(F.sort_array(F.zip_with("t", "c", entry)).alias("entries")))))
-    length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
-    sized = raw.select("id", F.inline(F.array(F.struct("entries", length.alias("length")))))
-    return sized.select(
-        "id",
-        F.transform(
-            "entries", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("length")).alias("w"))
-        ).alias("entries"),
+    entries = F.sort_array(F.zip_with("t", "c", entry)).alias("e")
+    raw = lists.select("id", "alone", F.inline(F.array(F.struct(entries))))
+    square = F.aggregate("e", F.lit(0.0), lambda total, e: total + F.pow(e["tf"] * idf(e["df"]), F.lit(2)))
+    length = F.sqrt(square + F.col("alone") * F.pow(idf(F.lit(1)), F.lit(2))).alias("length")
+    kept = stage(raw.select("id", "e", length), fresh_path(spark, "vectors"))
+    weighted = lambda e: F.struct(
+        e["df"].alias("df"), e["term"].alias("term"), (e["tf"] * idf(e["df"]) / F.col("length")).alias("w")
     )
+    return kept.select("id", F.transform("e", weighted).alias("entries"))
 
 
 def tfidf(
@@ -98,13 +104,14 @@ def tfidf(
 
 
 def as_vectors(weights: DataFrame) -> DataFrame:
-    """Vectors from long weights ``(id, term, w)``, entries from the rarest term to the most common;
-    vectors stay as they are."""
+    """Vectors from long weights ``(id, term, w)``, entries from the rarest term to the most common, as
+    a written table; vectors stay as they are (those of ``tfidf_vectors`` are read from one)."""
     if "entries" in weights.columns:
         return weights
     spread = weights.groupBy("term").agg(F.count("*").alias("df"))
     entry = F.struct("df", "term", "w")
-    return weights.join(spread, "term").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    vectors = weights.join(spread, "term").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return stage(vectors, fresh_path(weights.sparkSession, "vectors"))
 
 
 def candidate_pairs(vectors: DataFrame, min_sim: float) -> DataFrame:
@@ -201,7 +208,7 @@ def cosine_pairs(weights: DataFrame, min_sim: float) -> DataFrame:
 
     Identical vectors should be represented once: see ``vector_groups``.
     """
-    kept = stage(as_vectors(weights), fresh_path(weights.sparkSession, "vectors"))
+    kept = as_vectors(weights)
     return similar_pairs(kept, min_sim).where(F.col("sim") >= min_sim)
 
 
@@ -235,7 +242,7 @@ def linkage_clusters(weights: DataFrame, threshold: float) -> DataFrame:
     def kept(df: DataFrame, name: str) -> DataFrame:
         return stage(df, fresh_path(spark, name))
 
-    vectors = kept(as_vectors(weights), "vectors")
+    vectors = as_vectors(weights)
     groups = kept(vector_groups(vectors), "groups")
     members = groups.select("id", F.col("same_as").alias("cluster"))
     sizes = groups.groupBy(F.col("same_as").alias("id")).agg(F.max("copies").alias("size"))

@@ -510,7 +510,7 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents(spark, folder):
-    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True)
+    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True, shared=True)
     return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
@@ -523,7 +523,7 @@ FROM weights x JOIN weights y ON x.term = y.term AND x.id < y.id
 GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.9""",
 )
 def cosine_pairs_documents_all(spark, folder):
-    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True)
+    vectors = textsim.tfidf_vectors(_plain_docs(spark, folder), "doc_id", "text", once=True, shared=True)
     return rounded(textsim.cosine_pairs(vectors, 0.9))
 
 
