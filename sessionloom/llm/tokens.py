@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from sessionloom.llm.arrays import pieces, solid, span_list
 
-KEEP = 600_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
+KEEP = 400_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
 
 # Bytes before which a cut is safe: not white space, not the controls 0x1C-0x1F, and not the first
 # byte of a wide white space (U+0085, U+00A0, U+1680, U+2000-U+205F, U+3000).
