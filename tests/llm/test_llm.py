@@ -284,14 +284,70 @@ def test_license_alignment():
 
 def test_every_window_is_trained_on(spark, odd):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ODD)
-    counts = lm_score.bucket_counts(odd)
+    texts = lm_score.encoded_texts(odd)
+    counts = lm_score.bucket_counts(texts)
     assert counts.sum() == words
-    buckets, first = lm_score.decoded(lm_score.encoded(odd).toArrow().column("ids").combine_chunks())
-    assert (np.bincount(buckets, minlength=len(counts)) == counts).all() and first[-1] == words
+    runs = list(lm_score.decoded(texts.toArrow().column("ids").combine_chunks()))
+    assert (sum(np.bincount(r[2], minlength=len(counts)) for r in runs) == counts).all()
+    assert sum(r[3][-1] for r in runs) == words
     for word in ("one", "two", "three"):  # a text of one word is one window
-        docs = spark.createDataFrame([(word,)], "text string")
-        fresh = lm_score.fresh_network(lm_score.bucket_counts(docs), 3)
-        assert (lm_score.trained(docs, rounds=1).weights() != fresh.weights()).any()
+        texts = lm_score.encoded_texts(spark.createDataFrame([(1, word)], "doc_id long, text string"))
+        fresh = lm_score.fresh_network(lm_score.bucket_counts(texts), 3)
+        assert (lm_score.trained(texts, rounds=1).table != fresh.table).any()
+
+
+def _small_network():
+    random = np.random.default_rng(5)
+    network = lm_score.fresh_network(random.integers(0, 50, 30), 1, classes=7)
+    network.table[:] = random.normal(0, 0.5, network.table.shape)
+    context, target = random.integers(0, 31, (200, 4)).astype(np.int32), random.integers(0, 30, 200).astype(np.int32)
+    return network, context, target[np.argsort(network.class_of[target], kind="stable")]
+
+
+def test_probabilities_equal_plain_loops():
+    network, context, target = _small_network()
+    inputs, members, tops, sides = (k.astype(float) for k in network.kinds(network.table))
+    assert 1 < len(tops) < 30 and (np.diff(network.edges) > 1).any()
+    got = network.log_probabilities(context, target)
+    for i in range(len(target)):
+        h = np.tanh([sum(inputs[context[i, k], d] * sides[k, d] for k in range(4)) for d in range(lm_score.HIDDEN)])
+        level = np.exp(tops[:, :-1] @ h + tops[:, -1])
+        p = []
+        for c in range(len(tops)):
+            own = members[network.edges[c] : network.edges[c + 1]]
+            inner = np.exp(own[:, :-1] @ h + own[:, -1])
+            p += list(level[c] / level.sum() * inner / inner.sum())
+        assert abs(sum(p) - 1) < 1e-9 and abs(np.log(p[target[i]]) - got[i]) < 1e-4
+
+
+def test_gradient_equals_differences():
+    network, context, target = _small_network()
+    network.table = network.table.astype(np.float64)
+    whole = np.zeros(network.table.shape)
+    for rows, step in network.gradient(context, target):
+        whole[rows] += step
+    random = np.random.default_rng(8)
+    for kind in range(4):
+        for row in random.integers(network.starts[kind], network.starts[kind + 1], 6):
+            for column in (0, 7, lm_score.HIDDEN):
+                values = []
+                for move in (1e-4, -1e-4):
+                    near = network.copy()
+                    near.table[row, column] += move
+                    values.append(-near.log_probabilities(context, target).sum())
+                assert abs((values[0] - values[1]) / 2e-4 - whole[row, column]) < 1e-3
+
+
+def test_held_out_texts_are_likelier_than_under_counts(docs):
+    texts = lm_score.encoded_texts(docs.where("doc_id % 4 != 0"))
+    other = lm_score.encoded_texts(docs.where("doc_id % 4 = 0"))
+    fresh = lm_score.fresh_network(lm_score.bucket_counts(texts), 3)
+
+    def mean(network):
+        rows = lm_score.scores(other, network).toPandas()
+        return rows["log_prob"].sum() / rows["n_tokens"].sum()
+
+    assert mean(lm_score.trained(texts)) > mean(fresh) + 0.2
 
 
 @pytest.mark.parametrize("block_words", [None, 4096])
