@@ -4,8 +4,8 @@ A token is a word's hash bucket. Every bucket has an input vector; the vectors o
 left and two to the right, weighed by side, add up to a hidden vector, which gives the probability of
 the class of the word between and, by a second softmax over the members of that class, of its bucket.
 Classes are runs of buckets in falling order of their counts, cut so that the square roots of the
-counts add up to about the same in each: frequent buckets stand alone, rare ones share a class. The
-network starts as a unigram model. The sum of the logarithms over all words scores a text.
+counts add up to about the same in each, few frequent buckets or many rare ones. The network starts
+as a unigram model. The sum of the logarithms over all words scores a text.
 
 Counts come from all documents, and the window around every word is trained on in every round. Each
 part trains on its texts; afterwards every row of weights is averaged over the parts, by how often a
@@ -29,11 +29,11 @@ BUCKETS = 1 << 16
 CLASSES = 256
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
-ROUNDS = 2
-BATCH = 1 << 13
+ROUNDS = 1
+BATCH = 1 << 14
 RATE = 0.1
-SLICE = 1 << 13
-PART_SCALE = 1 << 16  # windows over which one part would be enough
+SLICE = 1 << 14
+PART_SCALE = 1 << 17  # windows over which one part would be enough
 SUM_ROWS = 1 << 12  # rows of weights that are added up together
 
 
@@ -126,26 +126,31 @@ class Network:
                 self.table[rows] -= rate * step / np.sqrt(squares[rows])[:, None]
 
 
-def _log_share(h: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+def _exponentials(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(logits) and the logits' shift: their maximum where they could overflow, else none."""
     logits = h @ rows[:, :-1].T
     logits += rows[:, -1]
-    logits -= logits.max(axis=1, keepdims=True)
-    hit = logits[np.arange(len(want)), want].astype(np.float64)
-    return hit - np.log(np.exp(logits, out=logits).sum(axis=1))
+    shift = np.zeros((len(logits), 1), logits.dtype)
+    if np.abs(rows).sum(axis=1).max() > 60:  # hidden values lie between -1 and 1
+        shift = logits.max(axis=1, keepdims=True)
+        logits -= shift
+    return np.exp(logits, out=logits), shift
+
+
+def _log_share(h: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+    p, shift = _exponentials(h, rows)
+    hit = np.einsum("bh,bh->b", h, rows[want, :-1]) + rows[want, -1] - shift[:, 0]
+    return hit.astype(np.float64) - np.log(p.sum(axis=1))
 
 
 def _backward(h: np.ndarray, rows: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the negated log-share by the hidden vectors and by the rows."""
-    p = h @ rows[:, :-1].T
-    p += rows[:, -1]
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(want)), want] -= 1
-    step = np.empty_like(rows)
-    step[:, :-1] = p.T @ h
-    step[:, -1] = p.sum(axis=0)
-    return p @ rows[:, :-1], step
+    p, _ = _exponentials(h, rows)
+    whole = p.sum(axis=1)
+    p[np.arange(len(want)), want] -= whole
+    by_whole = 1 / whole[:, None]
+    step = p.T @ np.concatenate([h * by_whole, by_whole], axis=1)
+    return (p @ rows[:, :-1]) * by_whole, step
 
 
 def contexts(ranks: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray:
@@ -229,7 +234,7 @@ def trained(texts: DataFrame, rounds: int = ROUNDS, seed: int = 3, rate: float =
     counts = bucket_counts(texts)
     network = fresh_network(counts, seed)
     parts = max(1, int(np.ceil(np.sqrt(counts.sum() / PART_SCALE))))
-    parted = store(texts.select("ids").where(F.length("ids") > 0).repartition(parts), "windows")
+    parted = texts.select("ids").where(F.length("ids") > 0).repartition(parts)
     width = HIDDEN + 2
 
     for turn in range(rounds):
@@ -302,8 +307,10 @@ def scores(texts: DataFrame, network: Network) -> DataFrame:
 
 
 def encoded_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``encoded`` rows of a table, written once."""
+    """``encoded`` rows of a table, written once. Workers started from here on compute in one thread:
+    small products on more threads cost several times the processor time."""
     batch_settings(docs.sparkSession)
+    docs.sparkSession.sparkContext.environment.update(OPENBLAS_NUM_THREADS="1", OMP_NUM_THREADS="1", MKL_NUM_THREADS="1")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return store(encoded(rows), "texts")
 
