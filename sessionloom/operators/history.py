@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.functions.fixed_values import EVENT_TYPES
 from sessionloom.functions.moments import seconds_between
-from sessionloom.functions.ratios import plain_ratio
+from sessionloom.functions.ratios import key_hash, plain_ratio
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.sessions import KEY, count_of
 
@@ -43,6 +46,49 @@ def target_mean(df: DataFrame, key: str, label: str, fit_on: DataFrame, to: str)
     return attach(df, known.groupBy(key).agg(F.avg(label).alias(to)), key)
 
 
+SLOT_ROWS = 1_000_000
+HASH_BITS = 60
+
+
+def ordered_target_mean(
+    df: DataFrame, row_key: str, value: str, label: str, to: str,
+    prior: float = 1.0, seed: int = 42, slot_rows: int = SLOT_ROWS,
+) -> DataFrame:
+    """Mean label of the earlier rows of the same value, so that no row's own label is in its mean.
+
+    Rows are ordered by a seeded hash of their key. The mean of all labels counts as ``prior`` rows.
+    Rows without a label come after all others: they see every label of their value. Rows with the same
+    key (null keys too) do not see each other; null is a value of its own; without any label all means
+    are null. A column ``to`` is replaced.
+
+    The order is cut into slots of about ``slot_rows`` rows. Sums of whole slots run over one row for
+    each value and slot, single rows only over their own slot, so a hot value is spread over its slots.
+    """
+    totals = df.agg(F.count(label).alias("labels"), F.avg(label).alias("mean"), F.count("*").alias("n")).first()
+    bits = max(0, math.ceil(math.log2(max(totals["n"], 1) / slot_rows)))
+    rows = df.select(
+        F.struct(*[F.col(c) for c in df.columns if c != to]).alias("_row"),
+        F.col(value).alias("_value"), F.col(label).cast("double").alias("_label"),
+        key_hash(row_key, seed).alias("_place"),
+    )
+    late = F.when(F.col("_label").isNull(), F.lit(1 << bits)).otherwise(F.lit(0))
+    rows = rows.withColumn("_slot", F.shiftright("_place", HASH_BITS - bits) + late)
+    slots = rows.groupBy(F.col("_value").alias("_of"), F.col("_slot").alias("_at")).agg(
+        F.count("_label").alias("_n"), F.sum("_label").alias("_sum")
+    )
+    earlier = W.partitionBy("_of").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    before = slots.select(
+        "_of", "_at",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_sum")],
+    )
+    met = rows.join(before, F.col("_value").eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_at")))
+    inside = W.partitionBy("_value", "_slot").orderBy("_place").rangeBetween(W.unboundedPreceding, -1)
+    count = F.col("_n_before") + F.count("_label").over(inside)
+    total = F.col("_sum_before") + F.coalesce(F.sum("_label").over(inside), F.lit(0.0))
+    mean = F.lit(totals["mean"]).cast("double")
+    return met.select("_row", ((total + prior * mean) / (count + prior)).alias(to)).select("_row.*", to)
+
+
 def with_history(events: DataFrame, train: DataFrame) -> DataFrame:
     """Event rows with user history, inferred price and category popularity, gaps filled."""
     prices, popularity = inferred_prices(train), category_popularity(train)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Callable
 from functools import reduce
@@ -10,12 +11,11 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -276,16 +276,72 @@ def out_of_fold(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _nearest(centers: list[list[list[float]]], point: Column) -> Column:
+    """For every start the squared distance to its nearest centre and the number of that centre."""
+    tables = F.from_json(F.lit(json.dumps(centers)), "array<array<array<double>>>")
+
+    def distance(centre):
+        squares = F.zip_with(centre, point, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+
+    return F.transform(
+        tables,
+        lambda own: F.array_min(
+            F.transform(own, lambda centre, i: F.struct(distance(centre).alias("distance"), i.alias("cluster")))
+        ),
+    )
+
+
+def kmeans_starts(
+    points: DataFrame, key: str, k: int, seeds: int, seed: int = 42, rounds: int = 20, least_move: float = 1e-4
+) -> tuple[list[list[list[float]]], list[float]]:
+    """Centres and summed squared distances of several starts of k-means over ``key, point``.
+
+    A start begins with the k rows that have the smallest seeded hash of their key. Every round assigns
+    the rows for all starts and adds them up in one scan; only one row for each centre reaches the
+    driver. A centre without rows stays. With fewer than k rows there are fewer centres; without rows none.
+    """
+    width = len((points.select("point").first() or [[]])[0])
+    first = [
+        points.select(F.lit(i).alias("start"), "point", key_hash(key, seed + i).alias("place"), F.col(key).alias("key"))
+        .orderBy("place", "key").limit(k)
+        for i in range(seeds)
+    ]
+    centers: list[list[list[float]]] = [[] for _ in range(seeds)]
+    for row in reduce(DataFrame.unionAll, first).orderBy("start", "place", "key").collect():  # seeds * k rows
+        centers[row["start"]].append(list(row["point"]))
+
+    def summed(now):
+        hits = points.select("point", F.posexplode(_nearest(now, F.col("point"))).alias("start", "hit"))
+        return hits.groupBy("start", F.col("hit.cluster").alias("cluster")).agg(
+            F.count("*").alias("n"), F.sum("hit.distance").alias("cost"),
+            F.array(*[F.sum(F.col("point")[j]) for j in range(width)]).alias("sums"),
+        ).collect()  # seeds * k rows
+
+    for _ in range(rounds if width else 0):
+        moved = 0.0
+        for row in summed(centers):
+            new = [x / row["n"] for x in row["sums"]]
+            old = centers[row["start"]][row["cluster"]]
+            moved = max(moved, sum((a - b) ** 2 for a, b in zip(new, old)) ** 0.5)
+            centers[row["start"]][row["cluster"]] = new
+        if moved <= least_move:
+            break
+    costs = [0.0] * seeds
+    for row in summed(centers) if width else []:
+        costs[row["start"]] += row["cost"]
+    return centers, costs
+
+
 def kmeans_segments(
     df: DataFrame, key: str, features: list[str], k: int = 8, seeds: int = 10, seed: int = 42
 ) -> DataFrame:
     """K-means segment of each row on scaled features, the best of several starts, as 0/1 columns."""
     scaled = standardize(df.na.fill(0, features), features)
-    ready = cut_lineage(feature_vector(scaled, features).select(key, "features"))
-    starts = [seed + i for i in range(seeds)]
-    fits = fit_side_by_side(df.sparkSession, lambda start: KMeans(k=k, seed=start).fit(ready), starts)
-    best = min(fits, key=lambda model: model.summary.trainingCost)
-    segments = best.transform(ready).select(key, F.col("prediction").alias("cluster"))
+    ready = cut_lineage(scaled.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("point")))
+    centers, costs = kmeans_starts(ready, key, k, seeds, seed)
+    best = centers[min(range(seeds), key=lambda i: (costs[i], i))]
+    segments = ready.select(key, _nearest([best], F.col("point"))[0]["cluster"].alias("cluster"))
     return segments.withColumns(
         {f"cluster_{i}": (F.col("cluster") == i).cast("int") for i in range(k)}
     )

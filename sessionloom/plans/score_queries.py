@@ -7,10 +7,10 @@ from pyspark.sql import types as T
 
 from sessionloom.cluster import cut_lineage, fresh_path
 from sessionloom.functions.fixed_values import BAGGING_SEEDS
-from sessionloom.operators import leastsq, models, profile, score
+from sessionloom.operators import history, leastsq, models, profile, score
 from sessionloom.operators.encode import feature_vector
 from sessionloom.operators.lookup import attach
-from sessionloom.operators.sessions import basic_features, mean_per_key
+from sessionloom.operators.sessions import basic_features, main_value, mean_per_key
 from sessionloom.plans.common import (
     TIE_SHIFT, key_hash_sql, least_squares_sql, rounded, sql_rounded, test_part, train_part,
 )
@@ -684,6 +684,45 @@ def gbt_scores(spark, folder):
     return _submission(fitted["boosted"].transform(scoring))
 
 
+CATEGORY_SQL = (
+    EVENTS_SQL
+    + BASIC_SQL
+    + f""",
+cats AS (SELECT user_session, category_id AS main_category FROM (SELECT user_session, category_id,
+    row_number() OVER (PARTITION BY user_session ORDER BY count(*) DESC, category_id) AS r
+  FROM ev GROUP BY user_session, category_id) WHERE r = 1),
+s AS (SELECT user_session, main_category, session_value AS y, {key_hash_sql('user_session', 42)} AS place
+  FROM base LEFT JOIN cats USING (user_session)),
+means AS (SELECT user_session, main_category, (SELECT avg(y) FROM s) AS mean,
+  CASE WHEN y IS NULL THEN sum(y) OVER (PARTITION BY main_category) ELSE sum(y) OVER earlier END AS total,
+  CASE WHEN y IS NULL THEN count(y) OVER (PARTITION BY main_category) ELSE count(y) OVER earlier END AS n
+  FROM s WINDOW earlier AS (PARTITION BY main_category ORDER BY place
+    RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_session, main_category,
+  round((coalesce(total, 0) + mean) / (n + 1) + {TIE_SHIFT}, 6) AS category_mean FROM means"""
+)
+
+
+def _category_means(spark, folder):
+    events = staged_events(spark, folder)
+    rows = attach(basic_features(events), main_value(events, KEY, "category_id", "main_category"), KEY)
+    return history.ordered_target_mean(rows, KEY, "main_category", "session_value", "category_mean")
+
+
+@query("ordered_category_means", CATEGORY_SQL)
+def ordered_category_means(spark, folder):
+    return rounded(_category_means(spark, folder).select(KEY, "main_category", "category_mean"))
+
+
+@query("gbt_category_scores")
+def gbt_category_scores(spark, folder):
+    rows = files.stage(_category_means(spark, folder), fresh_path(spark, "sessions"))
+    features, label = [*BASIC, "category_mean"], F.col("session_value")
+    train = models.training_table(rows.where(label.isNotNull()), KEY, features, "session_value")
+    fitted = models.fit_models(train, {"boosted": models.boosted(early_stop=True)})
+    return _submission(fitted["boosted"].transform(models.score_table(rows.where(label.isNull()), KEY, features)))
+
+
 VARIANTS = {"counts": ["event_count"], "basic": BASIC}
 FILE_TO_FILE_SQL = (
     EVENTS_SQL
