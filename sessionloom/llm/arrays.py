@@ -20,6 +20,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held_for(operator: str) -> dict:
+    """What this worker process keeps from task to task for one operator; what it kept for another one
+    is let go, since workers outlive stages and their stores would add up."""
+    for name in [n for n in _HELD if n != operator]:
+        del _HELD[name]
+    return _HELD.setdefault(operator, {})
+
+
 def blocks(
     texts: pa.Array, most: int = BLOCK_BYTES
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, distinct_words, word_spans
+from sessionloom.llm.arrays import blocks, distinct_words, held_for, word_spans
 from sessionloom.llm.storage import batch_settings, store
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST_PIECE = 8
 LONGEST_WORD = 32  # bytes; longer runs of letters are cut into parts of this size
 TRAIN_DOCS = 1000  # per language, those with the smallest hashes of doc_id
+LANGUAGES = 200  # learned at most, those with the most labelled documents
 ROUNDS = 4
 FLOOR = 1e-3  # share of the probability that all pieces divide equally
 SCALE = 16.0  # per byte, so that products of probabilities neither vanish nor overflow
 EVIDENCE = 20  # words whose evidence a whole text has in its score
+PRIOR_BYTES = 64  # of usual text that stand beside every text when its surprise is measured
 KEEP = 400_000
 UNKNOWN = "und"
 
@@ -160,11 +162,13 @@ def letter_runs(word: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Languages and, for each, the probabilities of the pieces of ``path``."""
+    """Languages and, for each, the probabilities of the pieces of ``path`` and the log-probability
+    that a byte of its training texts has in the mean."""
 
     path: str
     languages: list[str]
     probabilities: np.ndarray
+    usual: np.ndarray
 
 
 def in_training(docs: DataFrame) -> DataFrame:
@@ -172,18 +176,48 @@ def in_training(docs: DataFrame) -> DataFrame:
     return docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull())
 
 
-def train(docs: DataFrame, path: str, text: str = "text", per_language: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
-    """Fit on whole texts of at most ``per_language`` documents of each language of ``docs``."""
+def training_ids(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """doc_id, lang of the rows with the ``per_language`` smallest hashes of doc_id in each of the
+    ``most_languages`` languages with the most rows (ties: by code point).
+
+    Rows are counted by ranges of the hash first, so that only those up to the range in which the last
+    one lies are ranked, however many a language has.
+    """
+    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).withColumn(
+        "_range", F.shiftright("_hash", 52)
+    )
+    counts = hashed.groupBy("lang", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    common = counts.groupBy("lang").agg(F.sum("_n").alias("_all")).orderBy(F.desc("_all"), "lang").limit(most_languages)
+    before = F.sum("_n").over(W.partitionBy("lang").orderBy("_range")) - F.col("_n")
+    last = (
+        counts.withColumn("_before", before).where(F.col("_before") < per_language)
+        .groupBy("lang").agg(F.max("_range").alias("_last")).join(common.select("lang"), "lang", "left_semi")
+    )
+    first = W.partitionBy("lang").orderBy("_hash", "doc_id")
+    return (
+        hashed.join(F.broadcast(last), "lang").where("_range <= _last")  # one row per language
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") <= per_language).select("doc_id", "lang")
+    )
+
+
+def train(
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    per_language: int = TRAIN_DOCS,
+    rounds: int = ROUNDS,
+    most_languages: int = LANGUAGES,
+) -> Model:
+    """Fit on whole texts of at most ``per_language`` documents of each language of ``docs``, of the
+    ``most_languages`` with the most documents. Null texts and null languages teach nothing; rows of
+    one doc_id and language are taken together."""
     spark = docs.sparkSession
     batch_settings(spark)
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = docs.select("doc_id", "lang", F.col(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    chosen = (
-        labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= per_language).select("doc_id", "lang")
-    )
+    chosen = training_ids(labelled, per_language, most_languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +247,7 @@ def train(docs: DataFrame, path: str, text: str = "text", per_language: int = TR
     pieces = piece_table(path)
     chances = np.full((pieces.count, max(1, len(languages))), 1.0 / pieces.count)
     if not languages:
-        return Model(path, [], chances)
+        return Model(path, [], chances, np.zeros(1))
     for _ in range(rounds):
         def expect(batches: Iterator[pa.RecordBatch], now=chances) -> Iterator[pa.RecordBatch]:
             known = piece_table(path)
@@ -239,7 +273,33 @@ def train(docs: DataFrame, path: str, text: str = "text", per_language: int = TR
         used = np.zeros_like(chances)
         used[totals["piece"].to_numpy(), totals["k"].to_numpy()] = totals["used"].to_numpy()
         chances = (1 - FLOOR) * used / np.maximum(used.sum(axis=0), 1e-9) + FLOOR / pieces.count
-    return Model(path, languages, chances)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = piece_table(path)
+        table = scaled(chances, known)
+        for batch in batches:
+            names = np.array(batch.column("lang").to_pylist(), object)
+            spelled = batch.column("word").to_pylist()
+            counts = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            numbers, logs, sizes = [], [], []
+            for k, language in enumerate(languages):
+                mine = np.flatnonzero(names == language)
+                words_here = [spelled[i] for i in mine]
+                numbers.append(k)
+                logs.append(float(counts[mine] @ log_marginals(words_here, table[:, [k]], known)[:, 0]))
+                sizes.append(float(counts[mine] @ np.fromiter(map(len, words_here), float, len(mine))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(logs, pa.float64()), pa.array(sizes, pa.float64())],
+                ["k", "logs", "bytes"],
+            )
+
+    sums = words.mapInArrow(measure, "k long, logs double, bytes double").groupBy("k").agg(
+        F.sum("logs").alias("logs"), F.sum("bytes").alias("bytes")
+    )
+    usual = np.full(len(languages), -1.0)
+    for row in sums.where("bytes > 0").collect():  # one row per language
+        usual[row["k"]] = row["logs"] / row["bytes"]
+    return Model(path, languages, chances, usual)
 
 
 class Scorer:
@@ -252,13 +312,16 @@ class Scorer:
 
     def empty(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.values = np.zeros((1 << 16, self.table.shape[1] + 1))
+        self.values = np.zeros((1 << 16, self.table.shape[1] + 2))
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
         runs = [letter_runs(w) for w in words]
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        flat = log_marginals([r for some in runs for r in some], self.table, self.pieces)
+        spelled = [r for some in runs for r in some]
+        flat = np.column_stack([
+            log_marginals(spelled, self.table, self.pieces), np.fromiter(map(len, spelled), float, len(spelled))
+        ])
         total = np.concatenate([np.zeros((1, flat.shape[1])), np.cumsum(flat, axis=0)])
         ends = np.cumsum(sizes)
         while self.used + len(words) > len(self.values):
@@ -270,7 +333,8 @@ class Scorer:
         self.used += len(words)
 
     def score(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """For each text the sums of its words' log-marginals, and its number of letter runs."""
+        """For each text the sums of its words' log-marginals, and of the bytes and the number of its
+        letter runs."""
         starts, ends, first = word_spans(data, edges)
         codes, words = distinct_words(data, starts, ends)
         if len(self.known) + len(words) > KEEP:
@@ -286,44 +350,65 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to the rows of ``docs``; columns of these names are replaced.
+    """Add lang_pred, score and surprise to the rows of ``docs``; columns of these names are replaced.
 
     The score is the posterior of the best language among those learned, from the mean evidence of
-    a word times its number of words, at most EVIDENCE. A text that is null or has no letter has the
-    language ``und`` and the score 0; so has every text if no language was learned.
+    a word times its number of words, at most EVIDENCE. The surprise is the text's log-probability per
+    byte in that language, with PRIOR_BYTES of usual text beside it, over the one of the training
+    texts: about 1 for texts like those, the higher the less a text is in any language learned. Ties
+    go to the first language by code point; equal texts get equal results. A text that is null or has
+    no letter has the language ``und``, score and surprise 0; so has every text if none was learned.
     """
     batch_settings(docs.sparkSession)
-    left = docs.drop("lang_pred", "score")
+    left = docs.drop("lang_pred", "score", "surprise")
     names = left.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("language")
         scorer = Scorer(model) if model.languages else None
         for batch in batches:
-            texts, best, sure = batch.column(names.index(text)), [], []
+            texts, best, sure, odd = batch.column(names.index(text)), [], [], []
             for low, high, data, edges in blocks(texts):
                 if scorer is None:
                     best += [UNKNOWN] * (high - low)
                     sure.append(np.zeros(high - low))
+                    odd.append(np.zeros(high - low))
                     continue
                 sums = scorer.score(data, edges)
-                runs = sums[:, -1]
-                logs = sums[:, :-1] * (np.minimum(runs, EVIDENCE) / np.maximum(runs, 1))[:, None]
+                runs, size = sums[:, -1], sums[:, -2]
+                logs = sums[:, :-2] * (np.minimum(runs, EVIDENCE) / np.maximum(runs, 1))[:, None]
                 odds = np.exp(logs - logs.max(axis=1, keepdims=True))
                 odds /= odds.sum(axis=1, keepdims=True)
                 top = odds.argmax(axis=1)
                 best += [model.languages[k] if r else UNKNOWN for k, r in zip(top.tolist(), runs.tolist())]
                 sure.append(np.where(runs > 0, odds.max(axis=1), 0.0))
+                usual, whole = model.usual[top], sums[np.arange(len(top)), top]
+                share = (whole / usual + PRIOR_BYTES) / (size + PRIOR_BYTES)
+                odd.append(np.where(runs > 0, share, 0.0))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best, pa.string()), pa.array(np.concatenate([np.zeros(0), *sure]))],
-                [*names, "lang_pred", "score"],
+                [*batch.columns, pa.array(best, pa.string()), *(pa.array(np.concatenate([np.zeros(0), *x])) for x in (sure, odd))],
+                [*names, "lang_pred", "score", "surprise"],
             )
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields]
-    return left.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return left.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double", "surprise double"]))
+
+
+def kept_documents(docs: DataFrame, model: Model, least_score: float, most_surprise: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose language is one of the model's with at least
+    ``least_score`` and at most ``most_surprise``. Texts that are null or have no letter go; a short text
+    stays unless its letters are very unlikely. Repeated rows are judged alike and stay repeated."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    judged = predict(docs.select(F.struct(*others).alias("_row"), F.col(text).alias("text")), model)
+    kept = judged.where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score) & (F.col("surprise") <= most_surprise)
+    )
+    return kept.select(*[F.col("text" if c == text else f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def identify(docs: DataFrame, path: str, text: str = "text", per_language: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; rows held out are not learned from."""
+    """doc_id, held_out, lang_pred, score of every row, repeated ones too; rows held out are not learned
+    from. A row without doc_id is not held out and not learned from."""
     model = train(in_training(docs), path, text, per_language)
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
     plain = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), F.col(text).alias("text"))

@@ -225,9 +225,10 @@ def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 7, **option
     shares = taken.groupBy("_key").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times")).where("_times > 0")
     luck = F.conv(F.substring("_key", 9, 8), 16, 10).cast("double") / float(1 << 32)
     times = shares.withColumn("_copies", F.floor(F.col("_times") + luck).cast("int")).where("_copies > 0")
-    keyed = docs.withColumn("_key", row_key(text, seed))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # names cannot clash in it
+    keyed = docs.select(row, row_key(text, seed).alias("_key"))
     return (
         keyed.join(times.select("_key", "_copies"), "_key")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        .select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     )

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.arrays import (
     blocks,
+    held_for,
     lists,
     mixed,
     odd_numbers,
@@ -83,6 +84,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("near duplicates")
         factors, shifts = odd_numbers(SYMBOLS, 21), odd_numbers(SYMBOLS, 22)
         for batch in batches:
             for low, high, data, edges in blocks(batch.column("text")):
@@ -108,6 +110,7 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("near duplicates")
         for batch in batches:
             for low, high, data, edges in blocks(batch.column("text"), 1 << 20):
                 starts, ends, first = word_spans(data, edges)

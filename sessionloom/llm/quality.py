@@ -95,9 +95,12 @@ def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     and the ratios mean_word_chars, symbols_per_word, upper_share, dup_line_share. A null or empty
     text has zeros. Windows are compared by 64-bit hashes of their words.
     """
+    q = "_q_"  # helper columns; columns of docs that begin alike stay
+    while any(c.lower().startswith(q) for c in docs.columns):
+        q = "_" + q
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("_q_text", whole).withColumn("_q_words", word_array(F.col("_q_text")))
-    body, words = F.col("_q_text"), F.col("_q_words")
+    base = docs.withColumn(q + "text", whole).withColumn(q + "words", word_array(F.col(q + "text")))
+    body, words = F.col(q + "text"), F.col(q + "words")
     spaces = byte_count(body, SPACES)
     solid_lines = F.filter(
         F.split(body, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0
@@ -107,24 +110,24 @@ def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_words": F.size(words).cast("long"),
             "word_chars": F.char_length(body).cast("long") - spaces,
             "n_symbols": byte_count(body, SYMBOLS),
-            "_q_upper": F.regexp_count(body, F.lit("[A-Z]")),
-            "_q_lines": solid_lines,
-            "_q_stops": F.size(
+            q + "upper": F.regexp_count(body, F.lit("[A-Z]")),
+            q + "lines": solid_lines,
+            q + "stops": F.size(
                 F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))]))
             ),
-            "_q_h": F.transform(words, lambda w: F.xxhash64(w)),
+            q + "h": F.transform(words, lambda w: F.xxhash64(w)),
         }
     )
-    for name, source, step in (("_q_h2", "_q_h", 1), ("_q_h4", "_q_h2", 2), ("_q_h8", "_q_h4", 4)):
+    for name, source, step in ((q + "h2", q + "h", 1), (q + "h4", q + "h2", 2), (q + "h8", q + "h4", 4)):
         shifted = F.slice(F.col(source), F.lit(step + 1), F.size(source))
         base = base.withColumn(
             name, F.zip_with(source, shifted, lambda a, b: F.xxhash64(a, b))
         )
     base = base.withColumn(
-        "_q_windows",
-        F.slice("_q_h8", F.lit(1), F.greatest(F.size("_q_h8") - (WINDOW - 1), F.lit(0))),
+        q + "windows",
+        F.slice(q + "h8", F.lit(1), F.greatest(F.size(q + "h8") - (WINDOW - 1), F.lit(0))),
     )
-    windows, lines = F.col("_q_windows"), F.col("_q_lines")
+    windows, lines = F.col(q + "windows"), F.col(q + "lines")
     repeats = F.size(windows) > F.size(F.array_distinct(windows))
     measured = base.withColumns(
         {
@@ -132,11 +135,11 @@ def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.when(repeats, repeated_word_count(windows)).otherwise(
                 F.lit(0).cast("long")
             ),
-            "stop_words": F.col("_q_stops").cast("long"),
+            "stop_words": F.col(q + "stops").cast("long"),
             "mean_word_chars": F.coalesce(F.try_divide("word_chars", "n_words"), F.lit(0.0)),
             "symbols_per_word": F.coalesce(F.try_divide("n_symbols", "n_words"), F.lit(0.0)),
             "upper_share": F.coalesce(
-                F.try_divide(F.col("_q_upper"), F.col("word_chars")), F.lit(0.0)
+                F.try_divide(F.col(q + "upper"), F.col("word_chars")), F.lit(0.0)
             ),
             "dup_line_share": F.coalesce(
                 F.try_divide(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
@@ -144,7 +147,7 @@ def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         }
     )
-    return measured.drop(*[c for c in measured.columns if c.startswith("_q_")])
+    return measured.drop(*[c for c in measured.columns if c.startswith(q)])
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

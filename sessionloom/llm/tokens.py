@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from sessionloom.llm.arrays import pieces, solid, span_list
+from sessionloom.llm.arrays import held_for, pieces, solid, span_list
 
 KEEP = 400_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
 
@@ -158,14 +158,12 @@ class TextEncoder:
         return ids, first, self.where[place, 0] + shift, self.where[place, 1] + shift
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
-
-
 def encoder(path: str, spans: bool = False) -> TextEncoder:
-    """The encoder of this worker process."""
-    if (path, spans) not in _ENCODERS:
-        _ENCODERS[path, spans] = TextEncoder(path, spans)
-    return _ENCODERS[path, spans]
+    """The encoder of this worker process, kept until another operator works in it."""
+    kept = held_for("tokens")
+    if (path, spans) not in kept:
+        kept[path, spans] = TextEncoder(path, spans)
+    return kept[path, spans]
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -274,6 +274,49 @@ def test_kept_documents_are_those_with_a_verdict(docs, odd):
     assert quality.kept_documents(odd.limit(0)).count() == 0
 
 
+def test_texts_in_no_language_learned_go(spark, docs):
+    import random
+
+    draw = random.Random(5)
+    junk = ["".join(draw.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)) for _ in range(4)]
+    junk += ["これは日本語の文章です。東京は日本の首都であり、多くの人が住んでいます。", "Это текст на русском языке о погоде и море. " * 3]
+    model = langid.train(langid.in_training(docs), queries.BYTE_TOKENIZER)
+    strange = spark.createDataFrame([(i, t, "x") for i, t in enumerate(junk)], "score long, text string, _row string")
+    assert langid.kept_documents(strange, model, 0.0, 2.0).count() == 0
+    assert langid.kept_documents(strange, model, 0.0, 20.0).orderBy("score").collect() == strange.orderBy("score").collect()
+    plain = docs.where("lang IS NOT NULL AND regexp_count(text, '[a-z]{3}') > 20")
+    assert langid.kept_documents(plain, model, 0.0, 2.0).count() == plain.count()
+
+
+def test_training_ids_are_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 97 == 0, "c").otherwise("a").alias("lang")
+    )
+    hashed = sorted((r.h, r.doc_id, r.lang) for r in rows.select("*", F.xxhash64("doc_id").alias("h")).collect())
+    want = sorted((l, i) for l in "ab" for _, i, m in [x for x in hashed if x[2] == l][:300])
+    assert sorted((r.lang, r.doc_id) for r in langid.training_ids(rows, 300, 2).collect()) == want
+
+
+def test_columns_with_the_names_of_helpers_stay(odd):
+    names = ["_key", "_copies", "_copy", "_q_text", "_q_h", "_row", "_mark", "_kept", "score", "surprise", "lang_pred"]
+    wide = odd.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for found in (mixing.mixed_documents(wide), quality.kept_documents(wide)):
+        assert found.columns == wide.columns
+        for row in found.where("doc_id IS NOT NULL").collect():
+            assert all(row[n] == f"{n}{row.doc_id}" for n in names)
+    measured = quality.quality_rules(wide)
+    assert {r._q_text for r in measured.where("doc_id = 1").collect()} == {"_q_text1"}
+
+
+def test_a_worker_holds_the_store_of_one_operator():
+    tokens.encoder(queries.BYTE_TOKENIZER)
+    assert tokens.encoder(queries.BYTE_TOKENIZER) is tokens.encoder(queries.BYTE_TOKENIZER) and arrays.held_for("tokens")
+    arrays.held_for("language")
+    assert not arrays.held_for("tokens")
+
+
 def test_license_alignment():
     known = licenses.Templates(licenses.TEMPLATES)
     text = "intro of the text. " * 30 + licenses.TEMPLATES["MIT"].replace("sublicense", "lend") + " outro" * 20
