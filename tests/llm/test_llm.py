@@ -317,14 +317,85 @@ def test_a_worker_holds_the_store_of_one_operator():
     assert not arrays.held_for("tokens")
 
 
+def found_licenses(known, text, least=0.75):
+    return known.scan(known.numbers([w.encode() for w in text.split()]), least)
+
+
 def test_license_alignment():
     known = licenses.Templates(licenses.TEMPLATES)
-    text = "intro of the text. " * 30 + licenses.TEMPLATES["MIT"].replace("sublicense", "lend") + " outro" * 20
-    found = known.scan(known.numbers([w.encode() for w in text.split()]), 0.75)
-    assert [f[0] for f in found] == ["MIT"] and 0.95 < found[0][1] < 1
+    text = "intro of the text. " * 30 + licenses.TEMPLATES["MIT"].text.replace("sublicense", "lend") + " outro" * 20
+    found = found_licenses(known, text)
+    assert [f[0] for f in found] == ["MIT"] and 0.95 < found[0][1] < 1 and found[0][2] == 120
     assert licenses.aligned(list("xaybzc"), list("abc")) == [(1, 0), (3, 1), (5, 2)]
 
 
+NEAR_NAMES = [
+    ("Released under the MIT License.", ["MIT-notice"]), ("Released under the BSD License.", ["BSD-notice"]),
+    ("Released under the WTF License.", []), ("Licensed under CC BY 4.0.", ["CC-BY-4.0-notice"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]), ("Licensed under CC BY-NC 3.0.", []),
+    ("Licensed under the Apache License, Version 1.1", ["Apache-1.1-notice"]),
+    ("Licensed under the Apache License, Version 2.0", ["Apache-2.0-notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-notice"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0-notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 7.", []),
+]
+
+
+def test_licenses_of_near_names_are_told_apart():
+    known = licenses.Templates(licenses.TEMPLATES)
+    for text, names in NEAR_NAMES:
+        assert [f[0] for f in found_licenses(known, "some words before it. " + text + " some words after.")] == names, text
+    for name, license in licenses.TEMPLATES.items():  # every template is found as itself and as nothing else
+        found = found_licenses(known, license.text)
+        assert [(f[0], f[1]) for f in found] == [(name, 1.0)], name
+    advertising = licenses.BSD_CONDITIONS + "3. All advertising materials mentioning features. " + licenses.BSD_NAMES
+    assert found_licenses(known, advertising + licenses.BSD_NO_WARRANTY) == []
+
+
+def test_all_places_of_a_license_are_found():
+    known = licenses.Templates(licenses.TEMPLATES)
+    line, mit = "Released under the MIT License. ", licenses.TEMPLATES["MIT"].text + " "
+    size = len(mit.split())
+    assert [f[2] for f in found_licenses(known, line * 7)] == [0, 5, 10, 15, 20, 25, 30]
+    found = found_licenses(known, mit + "x " * 40 + line + mit + mit)
+    assert sorted((f[2], f[0]) for f in found) == [
+        (0, "MIT"), (size + 40, "MIT-notice"), (size + 45, "MIT"), (2 * size + 45, "MIT")
+    ]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_license_coverage_against_the_longest_common_subsequence():
+    import random
+
+    draw, known = random.Random(11), licenses.Templates(licenses.TEMPLATES)
+    for turn in range(60):
+        name = draw.choice(["MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "Zlib"])
+        t = known.names.index(name)
+        text = [w for w in licenses.TEMPLATES[name].text.split()]
+        for _ in range(draw.randrange(1, 14)):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randrange(2)] = draw.choice([[], ["other"], ["words", "added"], ["the"]])
+        numbers = known.numbers([w.encode() for w in text])
+        pairs = licenses.aligned(numbers.tolist(), known.words[t].tolist())
+        best = longest_common(numbers.tolist(), known.words[t].tolist())
+        assert all(numbers[i] == known.words[t][j] for i, j in pairs)
+        assert pairs == sorted(set(pairs)) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+        assert best >= len(pairs) >= 0.97 * best, (name, turn, len(pairs), best)
+        placed = [f for f in known.scan(numbers, 0.75) if f[0] == name]
+        told = known.tells(t, numbers, pairs, 0)
+        assert len(placed) == told and (not told or abs(placed[0][1] * known.sizes[t] - best) <= 0.04 * best)
+
+
 def test_every_window_is_trained_on(spark, odd):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in ODD)
     texts = lm_score.encoded_texts(odd)
