@@ -9,6 +9,7 @@ from sessionloom.cluster import cut_lineage, fresh_path
 from sessionloom.functions.fixed_values import BAGGING_SEEDS
 from sessionloom.operators import history, leastsq, models, profile, score
 from sessionloom.operators.encode import feature_vector
+from sessionloom.operators.extra_trees import fit_extra_trees
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.sessions import basic_features, main_value, mean_per_key
 from sessionloom.plans.common import (
@@ -677,6 +678,14 @@ def rf_scores(spark, folder):
     return _submission(fitted["forest"].transform(scoring))
 
 
+@query("extra_trees_scores")
+def extra_trees_scores(spark, folder):
+    labelled, unlabelled = _rich_rows(spark, folder)
+    split = models.hash_split(labelled, KEY).where(~F.col("is_validation")).na.fill(0, FEATURES)
+    model = fit_extra_trees(cut_lineage(split.select(*FEATURES, "session_value")), FEATURES, "session_value")
+    return _submission(unlabelled.na.fill(0, FEATURES).withColumn("prediction", model.prediction()))
+
+
 @query("gbt_scores")
 def gbt_scores(spark, folder):
     train, scoring = _rich(spark, folder)
