@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 import math
-import os
-from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.cluster import cut_lineage, fresh_path
+from sessionloom.cluster import batch_settings, cut_lineage, fresh_path
 
 __all__ = ["batch_settings", "cut_lineage", "fresh_path", "parts_for", "store", "target"]
 
-ARROW_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-}
-
-
-def batch_settings(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts do not fill a Python worker, and the folder of this
-    package on the path of workers started from elsewhere."""
-    for key, value in ARROW_SETTINGS.items():
-        spark.conf.set(key, value)
-    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if top not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (known, top) if x)
-
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder and read back; survives lost executors."""
