@@ -19,6 +19,7 @@ from sessionloom.llm.storage import batch_settings, fresh_path, parts_for, store
 from sessionloom.llm.tokens import encoder, with_end
 
 PART_BYTES = 24 << 20
+KEEP = 1_200_000  # distinct parts held by a worker, which does little else here
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id in the files
 SHARDS = "shard int, file string, width int, docs long, ids long"
 
@@ -69,7 +70,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        coder, shard = encoder(tokenizer, keep=KEEP), TaskContext.get().partitionId()
         width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = np.dtype(f"<u{width}")
         fs, place = target(folder)

@@ -158,12 +158,12 @@ class TextEncoder:
         return ids, first, self.where[place, 0] + shift, self.where[place, 1] + shift
 
 
-def encoder(path: str, spans: bool = False) -> TextEncoder:
+def encoder(path: str, spans: bool = False, keep: int = KEEP) -> TextEncoder:
     """The encoder of this worker process, kept until another operator works in it."""
     kept = held_for("tokens")
-    if (path, spans) not in kept:
-        kept[path, spans] = TextEncoder(path, spans)
-    return kept[path, spans]
+    if (path, spans, keep) not in kept:
+        kept[path, spans, keep] = TextEncoder(path, spans, keep)
+    return kept[path, spans, keep]
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

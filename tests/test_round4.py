@@ -82,3 +82,17 @@ def test_texts_that_differ_in_words_of_their_own_stay_apart(spark):
     clusters = lambda v: {r["id"]: r["cluster"] for r in textsim.linkage_clusters(v, 0.5).collect()}
     assert clusters(vectors) == clusters(full)
     assert full.select(F.sum(F.size("entries"))).first()[0] == 14
+
+
+def test_token_files_hold_more_parts_and_ids_do_not_depend_on_it():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    np = pytest.importorskip("numpy")
+    from sessionloom.llm import token_files, tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    data = np.frombuffer(" ".join(f"word{i % 70} text{i}" for i in range(400)).encode(), np.uint8)
+    edges = np.array([0, 50, len(data)])
+    few, many = (tokens.encoder(path, keep=k) for k in (20, token_files.KEEP))
+    assert (few.keep, many.keep) == (20, token_files.KEEP) and token_files.KEEP > tokens.KEEP
+    for x, y in zip(few.encode(data, edges), many.encode(data, edges)):
+        assert x.tolist() == y.tolist()
