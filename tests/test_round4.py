@@ -96,3 +96,18 @@ def test_token_files_hold_more_parts_and_ids_do_not_depend_on_it():
     assert (few.keep, many.keep) == (20, token_files.KEEP) and token_files.KEEP > tokens.KEEP
     for x, y in zip(few.encode(data, edges), many.encode(data, edges)):
         assert x.tolist() == y.tolist()
+
+
+def test_vectors_with_a_term_twice_are_compared_by_neighbours(spark):
+    """Under a repeated id a term comes twice: such pairs are neither cut early nor compared otherwise."""
+    rows = [
+        (1, [(4, "x", 0.1), (4, "x", 0.7), (9, "y", 0.7)]),
+        (2, [(4, "x", 0.5), (4, "x", 0.6), (9, "y", 0.6)]),
+        (3, [(4, "x", 0.2), (9, "y", 0.9)]),
+    ]
+    vectors = spark.createDataFrame(rows, ENTRIES)
+    got = {(r["a"], r["b"]): r["sim"] for r in textsim.similar_pairs(vectors, 0.6).collect()}
+    want = {(1, 2): 0.1 * 0.5 + 0.5 * 0.6 + 0.6 * 0.7 + 0.6 * 0.7, (1, 3): 0.1 * 0.2 + 0.2 * 0.7 + 0.7 * 0.9,
+            (2, 3): 0.2 * 0.5 + 0.5 * 0.6 + 0.6 * 0.9}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
