@@ -139,11 +139,14 @@ def powers(name: str, base: int, size: int) -> np.ndarray:
     return known
 
 
-def quick_word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
-    """64-bit hashes of all words with A-Z in lower case, as polynomials of their bytes from prefix
+def quick_word_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SLICE_BYTES, fold: bool = True
+) -> np.ndarray:
+    """64-bit hashes of all words, with ``fold`` A-Z in lower case, as polynomials of their bytes from prefix
     sums over runs of about ``most`` bytes. For projections; to tell texts apart, use word_hashes."""
     letters = odd_numbers(256, 31)
-    letters[65:91] = letters[97:123]
+    if fold:
+        letters[65:91] = letters[97:123]
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):

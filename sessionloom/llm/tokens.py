@@ -8,20 +8,22 @@ are kept and put together. Cuts stand only before bytes that cannot begin a wide
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from sessionloom.llm.arrays import held_for, pieces, solid, span_list
+from sessionloom.llm.arrays import held_for, pieces, quick_word_hashes, solid, span_list
 
-KEEP = 400_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
+KEEP = 800_000  # distinct parts held by a worker; beyond, the half seen most stays, ids do not change
 
 # Bytes before which a cut is safe: not white space, not the controls 0x1C-0x1F, and not the first
 # byte of a wide white space (U+0085, U+00A0, U+1680, U+2000-U+205F, U+3000).
 AFTER_CUT = np.ones(256, bool)
 AFTER_CUT[[*range(9, 14), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 AFTER_CUT[0x80:0xC0] = False
+JOINS = re.compile(rb"[\x09-\x0D\x20][^\x09-\x0D\x1C-\x20\x80-\xC2\xE1-\xE3]")  # the beginning of a part after a cut
 
 
 def part_cuts(
@@ -50,6 +52,15 @@ def part_cuts(
     return cuts, np.searchsorted(cuts, edges)
 
 
+def room(values: np.ndarray, size: int) -> np.ndarray:
+    """The values with space for ``size`` rows or more; space that is not used takes no memory."""
+    if size <= len(values):
+        return values
+    out = np.zeros((max(size, 2 * len(values)), *values.shape[1:]), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class TextEncoder:
     """Encodes blocks of texts; ``spans`` also keeps the character span of every token."""
 
@@ -62,70 +73,144 @@ class TextEncoder:
         self.empty()
 
     def empty(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, np.uint64)  # of the known parts, sorted, and their numbers
+        self.numbers = np.zeros(0, np.int32)
+        self.count = self.used = self.spelled = 0
+        self.text = np.zeros(1 << 18, np.uint8)  # the known parts one after the other
+        self.ends = np.zeros(1 << 16, np.int64)
         self.at = np.zeros(1 << 16, np.int64)  # of each known part: its first id, the number of ids
         self.many = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.where = np.zeros((1 << 18 if self.spans else 0, 2), np.int32)
         self.seen = np.zeros(1 << 16, np.int64)
-        self.used = 0
+
+    def spellings(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known parts begin in the store, and their lengths."""
+        begins = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        return begins, self.ends[numbers] - begins
 
     def shrink(self) -> None:
         """Keep the half of the store that was seen most."""
-        words, count = list(self.known), len(self.known)
+        count = self.count
         best = np.sort(np.argsort(-self.seen[:count], kind="stable")[: self.keep // 2])
+        left = np.full(count, -1, np.int32)
+        left[best] = np.arange(len(best), dtype=np.int32)
+        moved = left[self.numbers]
+        self.hashes, self.numbers = self.hashes[moved >= 0], moved[moved >= 0]
+        begins, sizes = self.spellings(best)
         size = self.many[best]
         place = span_list(self.at[best], size.astype(np.int64))
-        self.known = {words[i]: k for k, i in enumerate(best.tolist())}
-        self.seen[: len(best)] = self.seen[best]
-        self.at[: len(best)] = np.cumsum(size) - size
-        self.many[: len(best)] = size
-        self.used = len(place)
+        text = self.text[span_list(begins, sizes)]
+        self.count, self.used, self.spelled = len(best), len(place), len(text)
+        self.text[: self.spelled] = text
+        self.ends[: self.count] = np.cumsum(sizes)
+        self.seen[: self.count] = self.seen[best]
+        self.at[: self.count] = np.cumsum(size) - size
+        self.many[: self.count] = size
         self.ids[: self.used] = self.ids[place]
         if self.spans:
             self.where[: self.used] = self.where[place]
 
+    def find(self, hashes: np.ndarray, text: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Numbers of the parts with these hashes and bytes; -1 where one is not known."""
+        if not self.count:
+            return np.full(len(hashes), -1, np.int64)
+        order = np.argsort(hashes)
+        near = np.empty(len(hashes), np.int64)
+        near[order] = np.searchsorted(self.hashes, hashes[order])
+        near = np.minimum(near, len(self.hashes) - 1)
+        number = self.numbers[near].astype(np.int64)
+        begins, sizes = self.spellings(number)
+        alike = np.flatnonzero((self.hashes[near] == hashes) & (sizes == np.diff(edges)))
+        found = np.full(len(hashes), -1, np.int64)
+        same = self.text[span_list(begins[alike], sizes[alike])] == text[span_list(edges[:-1][alike], sizes[alike])]
+        wrong = np.concatenate([[0], np.cumsum(~same)])
+        ends = np.cumsum(sizes[alike])
+        equal = wrong[ends] == wrong[ends - sizes[alike]]
+        found[alike[equal]] = number[alike[equal]]
+        return found
+
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
         """(ids, number of ids of each word, character spans).
 
-        Without spans, words go in as one text with an added token between them, which the tokenizer
-        takes out first, and its id marks their ends; a word that holds it is encoded like the others
-        one by one.
+        Without spans, words that begin as after a cut go in as one text, as they could stand in one, and
+        tell their ids by where these begin. The others go in as one text with an added token between
+        them, which the tokenizer takes out first, and its id marks their ends; a word that holds it is
+        encoded like the others one by one.
         """
-        if not self.spans and self.special:
-            mark = self.special[0]
-            text = mark.join(words).decode("utf-8", "replace")
-            found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            ids = np.array(found, np.uint32)
-            ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark.decode()))
-            if len(ends) == len(words) - 1:
-                size = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
-                return np.delete(ids, ends), size, []
-        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        found = encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.spans:
+            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            ids, size = self.one_by_one(found)
+            return ids, size, [s for e in found for s in e.offsets]
+        joins = np.fromiter((JOINS.match(w) is not None for w in words), bool, len(words))
+        row, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
+        joined = self.joined_ids([texts[i] for i in row])
+        if joined is None or not len(rest):
+            return *(joined or self.marked_ids(texts)), []
+        apart = self.marked_ids([texts[i] for i in rest])
+        size = np.empty(len(words), np.int64)
+        size[row], size[rest] = joined[1], apart[1]
+        first = np.cumsum(size) - size
+        ids = np.empty(size.sum(), np.uint32)
+        for some, (own, many) in ((row, joined), (rest, apart)):
+            ids[span_list(first[some], many)] = own
+        return ids, size, []
+
+    def one_by_one(self, found: list) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array([i for e in found for i in e.ids], np.uint32)
-        spans = [s for e in found for s in e.offsets] if self.spans else []
-        return ids, np.array([len(e) for e in found], np.int64), spans
+        return ids, np.array([len(e) for e in found], np.int64)
+
+    def joined_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids of each text) of texts set side by side; None where that is not clear."""
+        whole = "".join(texts)
+        if any(name.decode() in whole for name in self.special):
+            return None
+        found = self.tokenizer.encode_batch([whole], add_special_tokens=False)[0]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        owner = np.searchsorted(ends, np.array([begin for begin, _ in found.offsets], np.int64), "right")
+        if len(owner) and (np.diff(owner).min(initial=0) < 0 or owner[-1] >= len(texts)):
+            return None
+        return np.array(found.ids, np.uint32), np.bincount(owner, minlength=len(texts))
+
+    def marked_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts with an added token between them, or one by one."""
+        if self.special:
+            mark = self.special[0].decode()
+            found = self.tokenizer.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.uint32)
+            ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark))
+            if len(ends) == len(texts) - 1:
+                return np.delete(ids, ends), np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+        return self.one_by_one(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Add parts to the store; of several with one hash the first one is found by it."""
+        begun = self.count
         for low in range(0, len(words), 2000):
             some = words[low : low + 2000]
             flat, size, spans = self.ids_of(some)
-            count = len(self.known)
-            while count + len(some) > len(self.at):
-                old = (self.at, self.many, self.seen)
-                self.at, self.many, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in old)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.where = np.concatenate([self.where, np.zeros_like(self.where)])
-            self.at[count : count + len(some)] = self.used + np.cumsum(size) - size
-            self.many[count : count + len(some)] = size
-            self.seen[count : count + len(some)] = 0
-            self.ids[self.used : self.used + len(flat)] = flat
-            if spans:
-                self.where[self.used : self.used + len(flat)] = spans
-            self.used += len(flat)
-            self.known.update(zip(some, range(count, count + len(some))))
+            text, count = np.frombuffer(b"".join(some), np.uint8), self.count
+            new, used, spelled = count + len(some), self.used + len(flat), self.spelled + len(text)
+            self.at, self.many, self.seen, self.ends = (room(x, new) for x in (self.at, self.many, self.seen, self.ends))
+            self.ids, self.text = room(self.ids, used), room(self.text, spelled)
+            self.at[count:new] = self.used + np.cumsum(size) - size
+            self.many[count:new] = size
+            self.seen[count:new] = 0
+            self.ends[count:new] = self.spelled + np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            self.ids[self.used : used] = flat
+            self.text[self.spelled : spelled] = text
+            if self.spans:
+                self.where = room(self.where, used)
+                self.where[self.used : used] = np.array(spans, np.int32).reshape(-1, 2)
+            self.count, self.used, self.spelled = new, used, spelled
+        new = np.concatenate([self.hashes, hashes])
+        numbers = np.concatenate([self.numbers, np.arange(begun, self.count, dtype=np.int32)])
+        order = np.argsort(new, kind="stable")
+        self.hashes, self.numbers = new[order], numbers[order]
+        first = np.diff(self.hashes, prepend=~self.hashes[:1]) != 0
+        if not first.all():
+            self.hashes, self.numbers = self.hashes[first], self.numbers[first]
 
     def encode(self, data: np.ndarray, edges: np.ndarray):
         """(ids, first) of a block; with ``spans`` also (starts, ends), characters in each text."""
@@ -135,16 +220,22 @@ class TextEncoder:
             found = (np.zeros(0, np.uint32), np.zeros(len(edges), np.int64))
             return (*found, none, none) if self.spans else found
         coded = pieces(data, cuts).dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if new and len(self.known) + len(new) > self.keep and len(self.known) > self.keep // 2:
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        _, place, body = words.buffers()
+        ends = np.frombuffer(place, np.int64)[words.offset : words.offset + len(words) + 1]
+        text = np.frombuffer(body, np.uint8)
+        hashes = quick_word_hashes(text, ends[:-1], ends[1:], fold=False)
+        known = self.find(hashes, text, ends)
+        new = np.flatnonzero(known < 0)
+        if len(new) and self.count + len(new) > self.keep and self.count > self.keep // 2:
             self.shrink()
-            new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.seen[place] += np.bincount(codes, minlength=len(words))
-        slots = place[codes]
+            known = self.find(hashes, text, ends)
+            new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = self.count + np.arange(len(new))
+            self.learn(words.take(pa.array(new)).to_pylist(), hashes[new])
+        self.seen[known] += np.bincount(codes, minlength=len(words))
+        slots = known[codes]
         sizes = self.many[slots].astype(np.int64)
         place = span_list(self.at[slots], sizes)
         total = np.concatenate([[0], np.cumsum(sizes)])
