@@ -6,6 +6,8 @@ the bytes of many texts at once; work that needs Python is done once for each di
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,23 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 _HELD: dict[str, dict] = {}
+_POWERS: dict[str, np.ndarray] = {}
+LIBC = ctypes.CDLL(None)  # of glibc, whose malloc keeps what is freed
 
 
 def held_for(operator: str) -> dict:
     """What this worker process keeps from task to task for one operator; what it kept for another one
-    is let go, since workers outlive stages and their stores would add up."""
-    for name in [n for n in _HELD if n != operator]:
+    is let go, since workers outlive stages and their stores would add up. What it has freed by then goes
+    back to the system."""
+    others = [n for n in _HELD if n != operator]
+    for name in others:
         del _HELD[name]
+    if others:
+        _POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(LIBC, "malloc_trim"):
+            LIBC.malloc_trim(0)
     return _HELD.setdefault(operator, {})
 
 
@@ -125,7 +137,6 @@ def odd_numbers(count: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, count + 1, dtype=np.uint64), seed) | np.uint64(1)
 
 
-_POWERS: dict[str, np.ndarray] = {}
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 
 

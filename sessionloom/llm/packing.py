@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm.arrays import blocks, mixed, quick_word_hashes, span_list, word_spans
+from sessionloom.llm.arrays import blocks, held_for, mixed, quick_word_hashes, span_list, word_spans
 from sessionloom.llm.storage import batch_settings, parts_for, store
 from sessionloom.llm.tokens import encoder, with_end
 
@@ -97,6 +97,7 @@ def curve_order(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTE
         bounds = np.array(found or [], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("packing")
         for batch in batches:
             found = [curve_keys(data, edges) for _, _, data, edges in blocks(batch.column("text"))]
             curve = np.concatenate([np.zeros(0, np.int64), *found])

@@ -61,3 +61,21 @@ def test_parts_with_one_hash_are_told_apart(spans, monkeypatch):
             for i in range(end - first):
                 want = plain.encode(texts[low + first + i], add_special_tokens=False).ids
                 assert ids[begin[i] : begin[i + 1]].tolist() == want
+
+
+def test_freed_memory_goes_back_when_another_operator_begins(monkeypatch):
+    class Libc:
+        trimmed = 0
+
+        def malloc_trim(self, pad):
+            self.trimmed += 1
+
+    libc = Libc()
+    monkeypatch.setattr(arrays, "LIBC", libc)
+    arrays.held_for("tokens")
+    before = libc.trimmed
+    arrays.powers("up", arrays.BASE, 1000)
+    arrays.held_for("tokens")
+    assert libc.trimmed == before and arrays._POWERS
+    arrays.held_for("language")
+    assert libc.trimmed == before + 1 and not arrays._POWERS
