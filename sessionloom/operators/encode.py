@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sessionloom.cluster import fresh_path
+from sessionloom.cluster import fresh_path, measured_broadcasts
 from sessionloom.operators.lookup import attach
 from sessionloom.operators.positions import number_in_order
 from sessionloom.sources.files import stage
 
+NAMED_PLACES = 10_000  # places of a vector that are named in the plan; the driver holds the names
+
 
 def domain_codes(df: DataFrame, column: str, sentinel: str | None = None) -> DataFrame:
     """0-based codes of the sorted distinct values: ``column, code``."""
@@ -66,22 +70,48 @@ def one_hot_vector(
     """A sparse 0/1 vector per row, one place per distinct value in sorted order, for any number of
     values; null and unseen values give a vector of zeros.
 
-    The dictionary is a table that is joined back, never a list on the driver. ``code`` also keeps
-    the place (null where there is none).
+    The dictionary is a table that is joined back, never a list on the driver; the column has a name
+    for each place up to ``NAMED_PLACES``, beyond them their number only. ``code`` also keeps the
+    place (null where there is none).
     """
+    measured_broadcasts(df.sparkSession)
     domain = stage(
         domain_codes(fit_on if fit_on is not None else df, column), fresh_path(df.sparkSession, "dictionary")
     )
     size = max(domain.count(), 1)
     coded = attach(df, domain.withColumnRenamed("code", "_code"), column)
-    coded = coded.withColumn("_place", F.coalesce(F.col("_code"), F.lit(size)).cast("double"))
-    # The place after the last value is the one the encoder drops, so it becomes zeros.
-    encoder = OneHotEncoder(inputCol="_place", outputCol=to, dropLast=True)
-    fitted = encoder.fit(df.sparkSession.range(1).select(F.lit(float(size)).alias("_place")))
-    wide = fitted.transform(coded).drop("_place")
+    if size > NAMED_PLACES:
+        wide = coded.withColumn(to, unit_vector(F.col("_code"), size))
+        wide = wide.withMetadata(to, {"ml_attr": {"num_attrs": size}})
+    else:
+        coded = coded.withColumn("_place", F.coalesce(F.col("_code"), F.lit(size)).cast("double"))
+        # The place after the last value is the one the encoder drops, so it becomes zeros.
+        encoder = OneHotEncoder(inputCol="_place", outputCol=to, dropLast=True)
+        fitted = encoder.fit(df.sparkSession.range(1).select(F.lit(float(size)).alias("_place")))
+        wide = fitted.transform(coded).drop("_place")
     return wide.withColumnRenamed("_code", code) if code else wide.drop("_code")
 
 
+def unit_vector(place: Column, size: int) -> Column:
+    """A sparse vector with a 1 at a place; zeros where that is null."""
+    at, one = F.coalesce(place.cast("string"), F.lit("")), F.when(place.isNull(), "").otherwise("1.0")
+    json = F.concat(F.lit(f'{{"v":{{"type":0,"size":{size},"indices":['), at, F.lit('],"values":['), one, F.lit("]}}"))
+    return F.from_json(json, StructType().add("v", VectorUDT()))["v"]
+
+
+def vector_totals(df: DataFrame, vector: str) -> DataFrame:
+    """``at, total``: the sum of a column of sparse vectors at each place that any of them has.
+
+    Equal vectors are counted first; their entries are summed place by place, so no task holds a number
+    for every place.
+    """
+    counted = df.groupBy(F.col(vector).alias("v")).agg(F.count("*").alias("n"))
+    form = StructType().add("v", VectorUDT().sqlType())
+    held = F.from_json(F.to_json(F.struct("v")), form)["v"]
+    entries = F.arrays_zip(held["indices"].alias("at"), held["values"].alias("value"))
+    return counted.select("n", F.inline(entries)).groupBy("at").agg(F.sum(F.col("value") * F.col("n")).alias("total"))
+
+
 def equal_width(df: DataFrame, column: str, labels: list[str], to: str) -> DataFrame:
     """Equal-width bins over the column's range, closed on the right; one value only: middle bin."""
     edges = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sessionloom.cluster import fresh_path
@@ -130,8 +129,7 @@ def one_hot_wide(spark, folder):
     """Column totals of the vectors beside the value of each place."""
     lines = table(spark, folder, "lineitem").select("l_partkey")
     wide = encode.one_hot_vector(lines, "l_partkey", "vector", code="place")
-    totals = wide.select(vector_to_array(Summarizer.sum(F.col("vector"))).alias("totals"))
-    by_place = totals.select(F.posexplode("totals").alias("at", "total"))
+    by_place = encode.vector_totals(wide, "vector")
     places = wide.select("l_partkey", "place").distinct()
     return places.join(by_place, places["place"] == by_place["at"]).select("l_partkey", "place", "total")
 

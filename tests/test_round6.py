@@ -5,10 +5,11 @@ import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sessionloom.cluster import shared_dir
-from sessionloom.operators import textsim
+from sessionloom.operators import encode, textsim
 
 
 def weights_by_hand(rows):
@@ -46,3 +47,18 @@ def test_weights_in_long_form_write_each_word_of_a_block_once(spark):
     read = [spark.read.parquet(f"{folder}/{x}") for x in left if x.startswith("blocks-")]
     words = sum(b.select(F.sum(F.size("words")).alias("n")).where("n > 0").first()["n"] for b in read)
     assert words == 399 * 13 + 300
+
+
+def test_wide_dictionaries_have_no_name_for_each_place(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("c",), (None,), ("b",), ("c",), ("d",)], "v string")
+    named = encode.one_hot_vector(df, "v", "x", fit_on=df.where("v <> 'd'"), code="at")
+    monkeypatch.setattr(encode, "NAMED_PLACES", 2)
+    wide = encode.one_hot_vector(df, "v", "x", fit_on=df.where("v <> 'd'"), code="at")
+    assert wide.dtypes == named.dtypes
+    assert sorted(map(repr, wide.collect())) == sorted(map(repr, named.collect()))
+    assert {r["at"]: r["total"] for r in encode.vector_totals(wide, "x").collect()} == {0: 1.0, 1: 1.0, 2: 2.0}
+    assert encode.vector_totals(named, "x").count() == 3
+    monkeypatch.undo()
+    many = encode.one_hot_vector(spark.range(20_001), "id", "x")
+    assert len(many.schema["x"].json()) < 1000
+    assert VectorAssembler(inputCols=["x"], outputCol="y").transform(many).first()["y"].size == 20_001
