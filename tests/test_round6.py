@@ -62,3 +62,31 @@ def test_wide_dictionaries_have_no_name_for_each_place(spark, monkeypatch):
     many = encode.one_hot_vector(spark.range(20_001), "id", "x")
     assert len(many.schema["x"].json()) < 1000
     assert VectorAssembler(inputCols=["x"], outputCol="y").transform(many).first()["y"].size == 20_001
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "smallint", "string"])
+def test_pairs_have_the_hash_of_spark(spark, kind):
+    df = spark.createDataFrame([(-5, 7), (0, 123456), (30000, 2), (11111, 22222)], "a long, b long")
+    if kind == "string":
+        df = df.select(*[F.concat(F.lit("a long word of pé "), F.repeat(F.col(c).cast("string"), 9)).alias(c) for c in "ab"])
+    else:
+        df = df.where(F.col("b") < 30000).select(*[F.col(c).cast(kind) for c in "ab"])
+    table = df.withColumn("h", F.xxhash64("a", "b")).toArrow()
+    assert [textsim._pair_hash(a, b) for a, b in zip(table["a"], table["b"])] == table["h"].to_pylist()
+
+
+@pytest.mark.parametrize("ids, cut, few", [("long", 0.2, "TIE_ROWS"), ("string", 0.5, "TIED_LINKS")])
+def test_clusters_merged_in_one_task_are_those_of_the_rounds(spark, monkeypatch, ids, cut, few):
+    rows = []
+    for i in range(80):  # chains, copies and many equal similarities
+        words = [f"w{(i // 8) * 5 + k}" for k in range(8 + i % 3)] + ["all"] + [f"x{i % 4}"] * (i % 2)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("id", F.col("id").cast(ids))
+    vectors = textsim.tfidf_vectors(docs, "id", "text", shared=True)
+    jobs = []
+    monkeypatch.setattr(textsim, "_renamed", lambda *a, f=textsim._renamed: jobs.append(1) or f(*a))
+    found = lambda: {r["id"]: r["cluster"] for r in textsim.linkage_clusters(vectors, cut).collect()}
+    at_once = found()
+    assert not jobs and 1 < len(set(at_once.values())) < 80
+    monkeypatch.setattr(textsim, few, 1)
+    assert found() == at_once and jobs
