@@ -90,3 +90,21 @@ def test_clusters_merged_in_one_task_are_those_of_the_rounds(spark, monkeypatch,
     assert not jobs and 1 < len(set(at_once.values())) < 80
     monkeypatch.setattr(textsim, few, 1)
     assert found() == at_once and jobs
+
+
+def test_similar_pairs_in_parts_leave_little_on_the_disk(spark, monkeypatch):
+    rows = [(i, " ".join([f"w{(i // 6) * 7 + k}" for k in range(30 - i % 4)] + ["common"])) for i in range(90)]
+    vectors = textsim.tfidf_vectors(spark.createDataFrame(rows, "id long, text string"), "id", "text", shared=True)
+    whole = {(r["a"], r["b"]): r["sim"] for r in textsim.similar_pairs(vectors, 0.8).collect()}
+    folder, parts = shared_dir(spark).replace("file:", ""), []
+    for name, few in (("MEETINGS", 400), ("HEAD_MEETINGS", 1), ("MOVED_PAIRS", 40)):
+        monkeypatch.setattr(textsim, name, few)
+    seen = lambda pairs, *a, f=textsim.near_pairs: parts.append(pairs.count()) or f(pairs, *a)
+    monkeypatch.setattr(textsim, "near_pairs", seen)
+    before = set(os.listdir(folder))
+    got = {(r["a"], r["b"]): r["sim"] for r in textsim.similar_pairs(vectors, 0.8).collect()}
+    left = [x.split("-")[0] for x in set(os.listdir(folder)) - before]
+    assert len(parts) > 1 and max(parts) < sum(parts)
+    assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-12 for k in whole)
+    assert "heads" not in left and left.count("candidates") == 1 and left.count("placed") == 1
+    assert "outlines" not in left and left.count("near") > len(parts)
